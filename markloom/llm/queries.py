@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fmindex, minhash, packing
+from . import bpe, fmindex, minhash, packing, quality
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -40,5 +40,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op6_circulant_minhash, op7_best_fit_packing, op8_bpe)}
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")), 0.3)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op6_circulant_minhash, op7_best_fit_packing, op8_bpe, op9_quality_classifier)}
 SQL: dict[str, str] = {}
