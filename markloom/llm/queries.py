@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fmindex, minhash, packing, quality, warc
+from . import bpe, fmindex, minhash, packing, quality, rules, warc
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -32,6 +32,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"), 0).drop("payload", "url")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op6_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -49,5 +53,5 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")), 0.3)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op4_warc, op6_circulant_minhash, op7_best_fit_packing, op8_bpe, op9_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op4_warc, op5_quality_rules, op6_circulant_minhash, op7_best_fit_packing, op8_bpe, op9_quality_classifier)}
 SQL: dict[str, str] = {}
