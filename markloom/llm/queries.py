@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fmindex, minhash, packing, quality, rules, warc
+from . import bpe, fmindex, lines, minhash, packing, quality, rules, warc
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -53,5 +53,26 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")), 0.3)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op4_warc, op5_quality_rules, op6_circulant_minhash, op7_best_fit_packing, op8_bpe, op9_quality_classifier)}
-SQL: dict[str, str] = {}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_digest(table(spark, sf_dir, "documents"), 2)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op4_warc, op5_quality_rules, op6_circulant_minhash, op7_best_fit_packing, op8_bpe, op9_quality_classifier, op10_line_dedup)}
+SQL: dict[str, str] = {
+    "op10_line_dedup": r"""
+WITH line AS (
+  SELECT doc_id, i, x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS o FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+  WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+two AS (SELECT a.doc_id, a.o, a.x AS x, b.x AS y FROM line a JOIN line b ON a.doc_id = b.doc_id AND b.o = a.o + 1),
+late AS (SELECT doc_id, o FROM (SELECT doc_id, o, row_number() OVER (PARTITION BY x, y ORDER BY doc_id, o) AS r FROM two) WHERE r > 1),
+gone AS (SELECT doc_id, o FROM late UNION SELECT doc_id, o + 1 FROM late),
+gone_i AS (SELECT doc_id, i FROM gone JOIN line USING (doc_id, o)),
+every AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+kept AS (SELECT e.doc_id, string_agg(e.x, chr(10) ORDER BY e.i) AS text FROM every e ANTI JOIN gone_i g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(r, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM line GROUP BY 1) USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS r FROM gone GROUP BY 1) USING (doc_id)
+""",
+}

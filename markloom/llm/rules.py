@@ -173,7 +173,7 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     Null lang and source are values of their own. Groups of under GROUP_ROWS rows that pass the base
     rules share an estimate. An empty table gives an empty one; repeated rows each count and each
     give a row; other columns are ignored."""
-    rows = stored(grouped(vectors(base_counts(docs))), "vectors")
+    rows = stored(grouped(stored(vectors(base_counts(docs)), "counts")), "vectors")
     fine = rows.where("NOT base_failed").select("doc_id", "group", "salt", *(y for y, _ in VECTOR))
     estimate = stored(start(fine), "start")
     for step in range(STEPS):
