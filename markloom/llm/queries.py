@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fmindex, lines, minhash, packing, quality, rules, warc
+from . import bpe, fmindex, lines, minhash, packing, quality, rules, topk, warc
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -24,6 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", 5)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.dedup_digest(table(spark, sf_dir, "documents"), 50)
 
@@ -57,8 +61,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_digest(table(spark, sf_dir, "documents"), 2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_substring_dedup, op4_warc, op5_quality_rules, op6_circulant_minhash, op7_best_fit_packing, op8_bpe, op9_quality_classifier, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_top_k, op2_substring_dedup, op4_warc, op5_quality_rules, op6_circulant_minhash, op7_best_fit_packing, op8_bpe, op9_quality_classifier, op10_line_dedup)}
 SQL: dict[str, str] = {
+    "op1_exact_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+""",
     "op10_line_dedup": r"""
 WITH line AS (
   SELECT doc_id, i, x, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS o FROM (
