@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fmindex, lines, minhash, packing, quality, rules, topk, warc
+from . import bpe, chat, fmindex, lines, minhash, packing, quality, rules, topk, warc
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -32,6 +33,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.dedup_digest(table(spark, sf_dir, "documents"), 50)
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw transcripts of all conversations, parsed without a look at the role column."""
+    out = chat.canonical_turns(chat.raw_transcripts(table(spark, sf_dir, "conversations")))
+    return out.select("conv_id", "turn", F.get("line_roles", F.lit(0)).alias("first_role"), F.size("line_roles").cast("long").alias("n_lines"), F.size("turn_starts").cast("long").alias("n_starts"), "rendered")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"), 0).drop("payload", "url")
 
@@ -61,7 +68,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_digest(table(spark, sf_dir, "documents"), 2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_top_k, op2_substring_dedup, op4_warc, op5_quality_rules, op6_circulant_minhash, op7_best_fit_packing, op8_bpe, op9_quality_classifier, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_top_k, op2_substring_dedup, op3_chat_formatting, op4_warc, op5_quality_rules, op6_circulant_minhash, op7_best_fit_packing, op8_bpe, op9_quality_classifier, op10_line_dedup)}
 SQL: dict[str, str] = {
     "op1_exact_top_k": """
 WITH v AS (
