@@ -9,6 +9,7 @@ fewer partitions and packed again, until a round is certified or one partition h
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -19,35 +20,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import MEMORY
+from .bpe import Remembered
 from .common import byte_column, doc_texts, in_chunks, session_of, stored
 
 #: Pieces that one partition packs at a time, and the most rounds of exchange.
 PARTITION_PIECES, ROUNDS = 50_000, 6
-#: Words after which the library's answers so far are forgotten; bytes of text between two calls.
-CALL_BYTES = 4 << 20
+#: Bytes of text between two calls of the library; parts that a worker remembers (about 200 bytes each).
+CALL_BYTES, KEPT = 4 << 20, 1_600_000
 PIECE_COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+class Encoder:
+    """Ids by the tokenizers library. The vocabulary drops white space and no token spans it, so a
+    text's ids are those of its parts between ASCII white space; each new part is encoded once,
+    many in one call, parted by NUL words, whose id no other word without a NUL can have. See Remembered for how many are kept."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.library = Tokenizer.from_file(path)
+        self.odd = [b"\0", *(x.content.encode() for x in self.library.get_added_tokens_decoder().values())]
+        (self.stop,) = self.library.encode("\0", add_special_tokens=False).ids
+        self.fresh: list[bytes] = []
+        self.known = Remembered(self.later, KEPT)
+
+    def later(self, part: bytes) -> None:
+        self.fresh.append(part)
+
+    def encode_fresh(self) -> dict[bytes, bytes]:
+        found: dict[bytes, bytes] = {}
+        odd = {w for mark in self.odd for w in self.fresh if mark in w}
+        plain = [w for w in self.fresh if w not in odd] if odd else list(self.fresh)
+        texts = [b" \0 ".join(plain[at : at + 1000]).decode("utf-8", "replace") for at in range(0, len(plain), 1000)]
+        for k, e in enumerate(self.library.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.stop), len(ids)).tolist()
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(plain[1000 * k : 1000 * (k + 1)], ends, strict=True):
+                found[w] = raw[4 * start : 4 * end]
+                start = end + 1
+        for w in odd:
+            found[w] = np.array(self.library.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        self.fresh.clear()
+        self.known |= found
+        return found
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        split = [t.split() for t in texts]
+        parts = [list(map(self.known.__getitem__, p)) for p in split]
+        found = self.encode_fresh() if self.fresh else {}
+        for words, ids in zip(split, parts, strict=True):
+            yield b"".join([found[w] if x is None else x for w, x in zip(words, ids, strict=True)] if None in ids else ids)
+
+
 @lru_cache(maxsize=2)
-def library(path: str) -> tuple[Tokenizer, dict[bytes, bytes]]:
-    return Tokenizer.from_file(path), {}
-
-
-def token_ids(texts: list[bytes], path: str) -> Iterator[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit integers. The vocabulary drops white space
-    and no token spans it, so each distinct part between ASCII white space is encoded once."""
-    tokenizer, known = library(path)
-    parts = [t.split() for t in texts]
-    if len(known) > MEMORY:
-        known.clear()
-    fresh = list({w for p in parts for w in p if w not in known})
-    for at in range(0, len(fresh), 50_000):
-        some = fresh[at : at + 50_000]
-        for w, e in zip(some, tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    for p in parts:
-        yield b"".join(map(known.__getitem__, p))
+def encoder(path: str) -> Encoder:
+    """One per worker and file."""
+    return Encoder(path)
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, limit: int) -> DataFrame:
@@ -59,7 +88,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, limit: int) -> DataFrame:
         for batch in in_chunks(batches, "text", CALL_BYTES):
             rows: list[tuple] = []
             texts = [x or b"" for x in byte_column(batch, "text")]
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), token_ids(texts, vocabulary), strict=True):
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), encoder(vocabulary).encode(texts), strict=True):
                 raw += bytes(4)
                 for piece, at in enumerate(range(0, len(raw), 4 * limit)):
                     some = raw[at : at + 4 * limit]
