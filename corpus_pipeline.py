@@ -1,22 +1,50 @@
-"""A corpus pipeline over documents: each stage works on what the one before it kept."""
+"""A corpus pipeline over documents: each stage works on all rows that the one before it kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markloom.llm import packing
+from markloom.llm import fmindex, lines, minhash, packing, quality
 from markloom.llm.common import stored
 from markloom.llm.queries import table, vocabulary
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: documents scored under 0.3 by a model of labels.quality go."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")), 0.3)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: later copies of runs of two lines or more are cut out; a document that loses
+    every line goes."""
+    return lines.dedup_text(docs, 2)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: of documents linked at a similarity of 0.8 the one with the smallest doc_id stays."""
+    return minhash.keep_one(docs, 80)
+
+
+def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: words in windows of 50 that an earlier document has are cut out; a document that
+    loses every word goes."""
+    return fmindex.dedup_text(docs, 50)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing (operator 7) of every remaining document."""
+    """Operator 7: every remaining document, in sequences of 2048 tokens."""
     return packing.pack_documents(docs, vocabulary(), 2048)
 
 
-STAGES = [("best_fit_packing", pack)]
+STAGES = [
+    ("quality_classifier", classify),
+    ("line_dedup", dedup_lines),
+    ("minhash_near_dedup", dedup_documents),
+    ("substring_dedup", dedup_passages),
+    ("best_fit_packing", pack),
+]
 
-#: Several stages cannot be said in SQL (a trained classifier, packing).
+#: A trained classifier and packing cannot be said in SQL.
 ORACLE_SQL = None
 
 

@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import byte_column, doc_texts, session_of, stored, word_hashes
@@ -214,3 +214,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, band
     own = classes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     out = found.select("doc_id", "n_shingles", "set_key").join(own, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
+    """docs without those that are in a group with a smaller doc_id, all columns kept. Of rows equal
+    in doc_id and text one stays. Rows without a doc_id stay."""
+    gone = near_duplicates(docs, percent, bands=bands, rows=rows).where("NOT kept").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    return left.withColumn("__row", F.row_number().over(order)).where("doc_id IS NULL OR __row = 1").drop("__row")

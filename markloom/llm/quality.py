@@ -23,7 +23,7 @@ from .common import byte_column, session_of, word_hashes
 BUCKETS, FACTORS, BINS = 1 << 14, 8, 10
 #: The most labelled rows that a model is fitted on: those with the least hash of their doc_id.
 SAMPLE = 8000
-EPOCHS, BATCH, RATE, DECAY, SEED = 12, 64, 0.1, 2e-5, 7
+EPOCHS, UPDATES, BATCH, RATE, DECAY, SEED = 12, 1500, 64, 0.1, 2e-5, 7
 CLASSES = [bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789", b"#*$%&|<>", b"!?", b".,;:", b"|", b"@/\\_=~^`{}[]", bytes(range(128, 256))]
 STATISTICS = len(CLASSES) + 9
 
@@ -79,7 +79,8 @@ class Model:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, list[float]]], labels: np.ndarray) -> Model:
-    """Logistic loss by sparse AdaGrad, in a fixed order. Without both labels: a constant score."""
+    """Logistic loss by sparse AdaGrad, in a fixed order: EPOCHS passes, and UPDATES steps at least.
+    Without both labels: a constant score."""
     size, random = BUCKETS + STATISTICS * BINS, np.random.default_rng(SEED)
     stats = np.array([s for _, _, s in rows]).reshape(-1, STATISTICS)
     edges = np.quantile(stats, np.arange(1, BINS) / BINS, axis=0).T if len(rows) else np.zeros((STATISTICS, BINS - 1))
@@ -90,7 +91,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, list[float]]], labels: np.ndarr
         return model
     sparse = [model.row(*r) for r in rows]
     seen_w, seen_v = np.full(size, 1e-2), np.full((size, FACTORS), 1e-2)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-UPDATES * BATCH // len(rows)))):
         order = random.permutation(len(rows))
         for some in np.array_split(order, -(-len(rows) // BATCH)):
             at = np.concatenate([sparse[i][0] for i in some])
