@@ -10,11 +10,14 @@ post-processor and no decoder. Any other shape raises ValueError.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
+import struct
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from heapq import heapify
+from heapq import heappop as pop
+from heapq import heappush as push
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +28,10 @@ from tokenizers import Tokenizer
 from .common import byte_column, doc_texts, session_of
 
 #: Distinct words that a worker remembers. When full, the memory starts anew, so it stays bounded.
-MEMORY = 400_000
+MEMORY = 1_000_000
 
-#: Above any id, and above any place in a word: they pack pairs into one integer.
-ROOM, PLACES = 1 << 24, 1 << 32
+#: Above any id: packs a pair into one integer.
+ROOM = 1 << 24
 
 
 def byte_names() -> list[str]:
@@ -57,6 +60,9 @@ class WordBPE:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.strings = {i: s for s, i in (self.vocab | self.special).items()}
         self.special_at = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
+        self.shortest = min(map(len, self.special), default=1 << 30)
+        #: each string as it stands in a decoded text, with the space after it
+        self.spelled = {i: s.encode() + b" " for i, s in self.strings.items()}.__getitem__
         self.word_at = regex.compile(split["pattern"]["Regex"])
         self.usual = regex.compile(r"[\t-\r -~\xA0-\u024F]*").fullmatch
         self.library = Tokenizer.from_file(path)
@@ -75,14 +81,19 @@ class WordBPE:
             return ids
         rank_of, union = self.rank_of, self.union
         live = [rank_of(a * ROOM + b, -1) for a, b in zip(ids, ids[1:])]
-        queue = [rank * PLACES + i for i, rank in enumerate(live) if rank >= 0]
+        bits = max(12, n.bit_length())
+        mask = (1 << bits) - 1
+        queue = [rank << bits | i for i, rank in enumerate(live) if rank >= 0]
         if not queue:
             return ids
         live.append(-1)
         after, before = [*range(1, n + 1), -1], [*range(-1, n)]
-        heapq.heapify(queue)
+        if len(queue) > 1:
+            heapify(queue)
         while queue:
-            rank, i = divmod(heapq.heappop(queue), PLACES)
+            rank = pop(queue)
+            i = rank & mask
+            rank >>= bits
             if live[i] != rank:
                 continue
             j = after[i]
@@ -94,17 +105,17 @@ class WordBPE:
                 before[k] = i
                 live[i] = rank = rank_of(found * ROOM + ids[k], -1)
                 if rank >= 0:
-                    heapq.heappush(queue, rank * PLACES + i)
+                    push(queue, rank << bits | i)
             h = before[i]
             if h >= 0:
                 live[h] = rank = rank_of(ids[h] * ROOM + found, -1)
                 if rank >= 0:
-                    heapq.heappush(queue, rank * PLACES + h)
+                    push(queue, rank << bits | h)
         return [x for x in ids if x >= 0]
 
     def words(self, text: str) -> list[bytes]:
         """Normalised and split, without special tokens."""
-        if not self.usual(text):
+        if not (text.isascii() or self.usual(text)):
             # what this Python's Unicode tables may know otherwise: the library's own front end
             parts = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
             return [bytes(map(self.byte_of.__getitem__, x)) for x, _ in parts]
@@ -115,7 +126,7 @@ class WordBPE:
         """The ids of any text. White space parts words and is dropped, so the ids of a text are
         those of its parts between ASCII white space, one after the other."""
         ids, start, merge = [], 0, merge or self.merge
-        for m in self.special_at.finditer(text):
+        for m in self.special_at.finditer(text) if len(text) >= self.shortest else ():
             ids += [i for word in self.words(text[start : m.start()]) for i in merge(word)]
             ids.append(self.special[m[0]])
             start = m.end()
@@ -133,15 +144,20 @@ def word_bpe(path: str) -> WordBPE:
 
 
 class Remembered(dict):
-    """What `make` gives for a part of a text, kept for later parts that are equal."""
+    """What `make` gives for a part of a text, kept for later parts that are equal. The last `most`
+    parts that came anew are kept, and those among as many before them that came again since."""
 
     def __init__(self, make: Callable[[bytes], object], most: int = MEMORY):
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most // 2, {}
 
     def __missing__(self, part: bytes) -> object:
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        self[part] = found = self.make(part)
+        found = self.old.get(part)
+        if found is None:
+            found = self.make(part)
+        self[part] = found
         return found
 
 
@@ -153,13 +169,13 @@ def encoded_parts(path: str) -> Remembered:
 
     def parts(part: bytes) -> tuple[bytes, bytes]:
         ids = bpe.chunk(part.decode("utf-8", "replace"), words.__getitem__)
-        return id_bytes(ids), b"".join([bpe.strings[i].encode() + b" " for i in ids])
+        return id_bytes(ids), b"".join(map(bpe.spelled, ids))
 
     return Remembered(parts)
 
 
 def id_bytes(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, digest: bool = True) -> DataFrame:
