@@ -155,8 +155,8 @@ class Inlines:
         while m := special.search(text, at):
             i = m.start()
             used = self.one(text[i], i, start)
-            if used is None:  # an ordinary character after all
-                at = i + 1
+            if used is None or used < 0:  # ordinary characters after all, up to ~used
+                at = i + 1 if used is None else ~used
                 continue
             at = start = used
         self.say(text[start:n], start, n)
@@ -172,7 +172,8 @@ class Inlines:
         return out
 
     def one(self, c: str, i: int, start: int) -> int | None:
-        """Handles the special character at i; text from start on is pending. Gives the next place."""
+        """Handles the special character at i; text from start on is pending. Gives the next place;
+        None or ~place if nothing special is there."""
         text = self.text
         if c == "\n":
             before = text[start:i]
@@ -299,14 +300,12 @@ class Inlines:
         while text[i + n : i + n + 1] == c:
             n += 1
         if c in "~^" and (n > 2 or c == "^" and n > 1):
-            self.say(text[start : i + n], start, i + n)
-            return i + n
+            return ~(i + n)
         before, after = character_class(text[i - 1 : i] if i else ""), character_class(text[i + n : i + n + 1])
         left = after != 0 and (after != 1 or before != 2)
         right = before != 0 and (before != 1 or after != 2)
         if not (left or right) or c == "_" and left and right and before == 2 and after == 2:
-            self.say(text[start : i + n], start, i + n)
-            return i + n
+            return ~(i + n)
         self.say(text[start:i], start, i)
         self.delimiter(c, i, n)
         return i + n

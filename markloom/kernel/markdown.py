@@ -225,6 +225,8 @@ class Writer:
 
     def inline(self, events: list[Event], table: bool = False, heading: bool = False) -> str:
         events = merged(tidy(events))
+        while events and events[-1].kind in ("soft_break", "hard_break"):
+            events.pop()
         out: list[str] = []
         i, fresh = 0, True
         while i < len(events):
