@@ -146,6 +146,7 @@ class FMIndex:
         symbol = np.where(self.symbols[symbol] == flat, symbol + 1, 0)
         found = np.full(len(flat), -1, np.int64)
         low, high, depth = np.zeros(len(sizes), np.int64), np.full(len(sizes), self.n), np.zeros(len(sizes), np.int64)
+        broken = np.zeros(len(sizes), bool)
         for t in range(int(sizes[0])):
             k = int(np.searchsorted(-sizes, -t, "left"))  # patterns longer than t
             c = symbol[ends[:k] - 1 - t]
@@ -156,13 +157,21 @@ class FMIndex:
                 lo, hi, d = np.where(full, self.short_start[g], lo), np.where(full, self.short_start[g + 1], hi), np.where(full, span - 1, d)
             both = self.step(np.concatenate([lo, hi]), np.concatenate([c, c]))
             lo, hi = both[:k], both[k:]
-            gone = (c == 0) | (lo >= hi)  # no match through this symbol: begin anew to its left
+            gone = (c == 0) | (lo >= hi)  # no match through this symbol
+            broken[:k] |= gone
             low[:k], high[:k], depth[:k] = np.where(gone, 0, lo), np.where(gone, self.n, hi), np.where(gone, 0, d + 1)
             at = np.flatnonzero(depth[:k] == span)
             found[ends[at] - 1 - t] = self.least[self.whole[low[at]]]
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(patterns)
         for i, end, size in zip(order, ends, sizes, strict=True):
             out[i] = found[end - size : end][: max(0, size - span + 1)]
+        # a pattern that the index does not hold throughout: its windows one by one
+        again = [i for i, b in zip(order, broken, strict=True) if b and len(patterns[i]) > span]
+        if again:
+            found = self.first_owners([patterns[i][k : k + span] for i in again for k in range(len(patterns[i]) - span + 1)])
+            each = iter(found)
+            for i in again:
+                out[i] = np.concatenate([next(each) for _ in range(len(patterns[i]) - span + 1)])
         return out
 
 

@@ -64,7 +64,7 @@ def shifted(level: DataFrame, by: int) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, least: int) -> DataFrame:
     """KEY, o of every window of `least` written lines that an earlier place has too."""
-    texts = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).where("text IS NOT NULL").select(*KEY, "text")
+    texts = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).where("doc_id IS NOT NULL AND text IS NOT NULL").select(*KEY, "text")
     line = letting(F.split("text", "\n"), lambda a: F.transform(F.filter(a, lambda x: x.rlike(WORD)), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b"))))
     lines = texts.select(*KEY, F.posexplode(line).alias("o", "x")).select(*KEY, F.col("o").cast("long").alias("o"), "x.a", "x.b")
     # rows that share id and text are one document
@@ -104,7 +104,7 @@ def dedup_digest(docs: DataFrame, least: int = 2) -> DataFrame:
     doc_id, then line; runs skip lines without a word, which always stay. A null text is empty and
     has no line. Rows with one doc_id but different texts are documents of their own, in the order
     of a hash of the text; rows equal in both are one document, each gives a row. A row without a
-    doc_id keeps all its lines. Other columns are ignored."""
+    doc_id keeps all its lines and is no earlier place. Other columns are ignored."""
     slim = docs.select("doc_id", "text")
     return cut(slim, least).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.sha2(F.coalesce("__kept", F.lit("")), 256).alias("kept_sha256"))
 
