@@ -148,7 +148,7 @@ EDGES = "part int, single boolean, " + ", ".join(f"{e}_c0 int, {e}_c1 long, {e}_
 def chain(rows: list[dict]) -> dict[int, tuple[np.ndarray | None, bool, int | None]]:
     """For each part that a conversation enters or leaves: (scores it begins with, whether lines came
     before, the state its last line is in). rows: edges() in order of the parts."""
-    same = [False] + [(a["last_c0"], a["last_c1"]) == (b["first_c0"], b["first_c1"]) for a, b in zip(rows, rows[1:], strict=False)]
+    same = [False][: len(rows)] + [(a["last_c0"], a["last_c1"]) == (b["first_c0"], b["first_c1"]) for a, b in zip(rows, rows[1:], strict=False)]
     entry: list[tuple[np.ndarray | None, bool]] = []
     after: tuple[np.ndarray, bool] = (FIRST_LOG, False)
 
