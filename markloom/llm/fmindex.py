@@ -23,8 +23,11 @@ from .common import byte_column, doc_texts, session_of, stored, word_hashes
 
 #: Words of the n-grams whose least hash keys a window.
 GRAM = 8
-#: Words that a shard should hold; groups beyond are dealt by a finer key.
+#: Words that a shard should hold: documents that own more are dealt by key, not by owner.
 SHARD_WORDS = 400_000
+#: Words of one key that an index can hold (about 100 bytes each); beyond, every window is dealt by
+#: its own hash, at the cost of a row for each.
+KEY_WORDS = 2_000_000
 #: Windows of one streamed pattern: longer segments are streamed in overlapping parts.
 STREAM_WINDOWS = 200
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -253,7 +256,7 @@ def repeated_spans(docs: DataFrame, span: int = 50) -> tuple[DataFrame, DataFram
     keys = run.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("high"), F.sum(F.col("n") + span - 1).alias("held")).where("owner < high")
     keys = stored(keys, "keys")
     owners = keys.groupBy("owner").agg(F.sum("held").alias("owned"))
-    keys = keys.join(owners, "owner").select("key", F.when(F.col("owned") <= SHARD_WORDS, F.col("owner")).otherwise(F.col("key")).alias("deal"), ((F.col("owned") > SHARD_WORDS) & (F.col("held") > SHARD_WORDS)).alias("fine"))
+    keys = keys.join(owners, "owner").select("key", F.when(F.col("owned") <= SHARD_WORDS, F.col("owner")).otherwise(F.col("key")).alias("deal"), ((F.col("owned") > SHARD_WORDS) & (F.col("held") > KEY_WORDS)).alias("fine"))
     wanted = run.join(keys, "key").groupBy("text_key", "doc_id").agg(F.collect_list(F.struct("at", "n", "deal", "fine")).alias("runs"))
     segments = stored(cut_segments(docs.join(wanted, "doc_id"), span), "segments")
     distinct = segments.groupBy("deal", "segment_key").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words"))

@@ -94,9 +94,10 @@ def brute_windows(texts, span):
     return out
 
 
-@pytest.mark.parametrize(("span", "shard"), [(50, 400_000), (50, 300), (7, 100)])
-def test_repeated_windows_equal_brute_force(spark, monkeypatch, span, shard):
+@pytest.mark.parametrize(("span", "shard", "key"), [(50, 400_000, 2_000_000), (50, 300, 300), (50, 300, 10**6), (7, 100, 100)])
+def test_repeated_windows_equal_brute_force(spark, monkeypatch, span, shard, key):
     monkeypatch.setattr(fmindex, "SHARD_WORDS", shard)
+    monkeypatch.setattr(fmindex, "KEY_WORDS", key)
     texts = corpus(3)
     got = fmindex.dedup_digest(frame(spark, texts), span).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_windows(texts, span)
