@@ -1,7 +1,7 @@
 """The same operators as relations over the event table: DataFrame functions only.
 
 They agree with the kernels, and serve where events are already at hand or columns of other tables
-join in. `key` names the columns that tell documents apart; windows run within a document.
+join in. Joins of events with themselves read them twice: store the event table first. `key` names the columns that tell documents apart; windows run within a document.
 """
 
 from __future__ import annotations
@@ -36,18 +36,31 @@ def with_depth(events: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     return events.withColumn("block_ordinal", F.sum(opens).over(within(key).orderBy("seq")) - 1)
 
 
+def elements(events: DataFrame, kind: str, fields: tuple[str, ...], key: tuple[str, ...] = KEY) -> DataFrame:
+    """The outermost elements of a kind: key, seq, end_seq, depth, the fields of their start, and text
+    (the text and code inside, joined). Running sums tell which element an event is in, so the events
+    are read once and sorted once within their document."""
+    own = F.col("kind") == kind
+    rows = events.where(own | ((F.col("op") == "leaf") & F.col("kind").isin("text", "code")))
+    delta = F.when(own & (F.col("op") == "start"), 1).when(own & (F.col("op") == "end"), -1).otherwise(0)
+    order = within(key).orderBy("seq")
+    rows = rows.withColumn("__open", F.sum(delta).over(order))
+    first = own & (F.col("op") == "start") & (F.col("__open") == 1)
+    rows = rows.withColumn("__first", first).withColumn("__element", F.sum(F.col("__first").cast("int")).over(order))
+    inside = (F.col("__open") > 0) | own
+    words = F.sort_array(F.collect_list(F.when(F.col("op") == "leaf", F.struct("seq", "text"))))
+    at_start = lambda c: F.max(F.when(F.col("__first"), F.col(c)))
+    return rows.where(inside).groupBy(*key, "__element").agg(
+        F.min("seq").alias("seq"), F.max("seq").alias("end_seq"), at_start("depth").alias("depth"), *(at_start(c).alias(c) for c in fields),
+        F.array_join(F.transform(words, lambda x: x["text"]), "").alias("text"),
+    ).drop("__element")
+
+
 def headings(events: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """Every heading: key, seq, end_seq, depth, level, heading (its text and code, joined), slug, id
     (the slug, numbered from the second of its kind on; null for an empty one)."""
-    start = events.where("kind = 'heading' AND op = 'start'").select(*key, "node_id", F.col("seq").alias("h_seq"), "level", F.col("depth").alias("h_depth"))
-    end = events.where("kind = 'heading' AND op = 'end'").select(*key, "node_id", F.col("seq").alias("end_seq"))
-    spans = start.join(end, [*key, "node_id"])
-    words = events.where("op = 'leaf' AND kind IN ('text', 'code')").select(*key, "seq", "text")
-    inside = (F.col("seq") > F.col("h_seq")) & (F.col("seq") < F.col("end_seq"))
-    joined = spans.join(words.withColumnsRenamed({k: f"__{k}" for k in key}), [F.col(k) == F.col(f"__{k}") for k in key] + [inside], "left")
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("seq").isNotNull(), F.struct("seq", "text")))), lambda x: x["text"]), "")
-    found = joined.groupBy(*key, "node_id", "h_seq", "end_seq", "level", "h_depth").agg(text.alias("heading")).withColumn("slug", S.slugify_ascii(F.col("heading")))
-    return numbered_slugs(found.withColumnsRenamed({"h_seq": "seq", "h_depth": "depth"}).drop("node_id"), key)
+    found = elements(events, "heading", ("level",), key).withColumnRenamed("text", "heading")
+    return numbered_slugs(found.withColumn("slug", S.slugify_ascii(F.col("heading"))), key)
 
 
 def numbered_slugs(headings: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
@@ -61,8 +74,8 @@ def statistics(events: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """The element counts of each document, partial aggregates first. heading_count is of headings
     whose slug is not empty."""
     starts = lambda kind: F.count_if((F.col("kind") == kind) & (F.col("op") == "start")).cast("int")
+    heads = headings(events, key).groupBy(*key).agg(F.count_if(F.col("slug") != "").cast("int").alias("heading_count"))
     counts = events.groupBy(*key).agg(starts("code_block").alias("code_block_count"), starts("image").alias("image_count"), starts("link").alias("link_count"), starts("footnote_definition").alias("footnote_definition_count"))
-    heads = headings(events, key).where("slug <> ''").groupBy(*key).agg(F.count("*").cast("int").alias("heading_count"))
     return counts.join(heads, [*key], "left").withColumn("heading_count", F.coalesce("heading_count", F.lit(0)))
 
 
@@ -78,15 +91,8 @@ def counted_text(events: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
 
 
 def element_text(events: DataFrame, kind: str, key: tuple[str, ...] = KEY) -> DataFrame:
-    """Each element of a kind with the text inside it: key, node_id, dest, title, lang, label, text,
-    byte_start, byte_end. Containment is an interval of seq within the document."""
-    start = events.where((F.col("kind") == kind) & (F.col("op") == "start")).select(*key, "node_id", F.col("seq").alias("from_seq"), "dest", "title", "lang", "label", "byte_start", "byte_end")
-    end = events.where((F.col("kind") == kind) & (F.col("op") == "end")).select(*key, "node_id", F.col("seq").alias("to_seq"))
-    words = events.where("op = 'leaf' AND kind IN ('text', 'code')").select(*(F.col(k).alias(f"__{k}") for k in key), "seq", F.col("text").alias("__text"))
-    on = [F.col(k) == F.col(f"__{k}") for k in key] + [F.col("seq") > F.col("from_seq"), F.col("seq") < F.col("to_seq")]
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("seq").isNotNull(), F.struct("seq", "__text")))), lambda x: x["__text"]), "")
-    spans = start.join(end, [*key, "node_id"]).join(words, on, "left")
-    return spans.groupBy(*key, "node_id", "dest", "title", "lang", "label", "byte_start", "byte_end").agg(text.alias("text"))
+    """Each outermost element of a kind with the text inside it and where it stands in the source."""
+    return elements(events, kind, ("dest", "title", "lang", "label", "byte_start", "byte_end"), key)
 
 
 def toc(heads: DataFrame, depth: int = 6, key: tuple[str, ...] = KEY) -> DataFrame:
