@@ -77,12 +77,26 @@ class Blocks:
             if m.start() == n and m.end() == n:
                 break
             self.line, self.line_start, self.next_line = m[1].replace("\0", "\ufffd"), m.start(), m.end()
-            self.eat_line()
+            if not (self.line[:1].isalpha() and self.prose()):
+                self.eat_line()
         self.line_start = self.next_line = n
         while self.tip is not self.root:
             self.close(self.tip)
         self.root.end = n
 
+    def prose(self) -> bool:
+        """A line that begins with a letter begins no block but a paragraph: at the top level it goes
+        on with the open one, or begins one if nothing is open."""
+        tip, root = self.tip, self.root
+        if tip is root:
+            root.children.append(tip := Block("paragraph", self.line_start, root))
+            self.tip = tip
+        elif tip.kind != "paragraph" or tip.parent is not root:
+            return False
+        tip.lines.append((self.line_start, self.line))
+        tip.end, tip.blank = self.next_line, False
+        return True
+
     def metadata(self, pos: int) -> int:
         """A YAML block at the top. None if it never closes or begins with a blank line."""
         m = re.compile(r"(?m)^(?:---|\.\.\.)[ \t]*\r?$").search(self.source, pos)

@@ -11,8 +11,8 @@ from .parse import parse
 from .words import Slugs, count_words, is_word, segments
 
 
-def filtered(source: str, o: Options) -> list[Event]:
-    return apply(content(parse(source, o.syntax())), o)
+def filtered(source: str, o: Options, offsets: bool = False) -> list[Event]:
+    return apply(content(parse(source, o.syntax(), offsets)), o)
 
 
 def top_level_blocks(events: list[Event]) -> list[tuple[int, int]]:
@@ -97,7 +97,7 @@ def chunks_by_heading(source: str, o: Options, t: Truncate | None = None) -> lis
         row = {"heading": heading, "level": level, "id": slug, "breadcrumb": crumbs, "content": body, "character_count": None, "word_count": None}
         if o["statistics"]:
             again = Options.of().syntax()
-            row["character_count"], row["word_count"] = bare_counts(parse(body, again) if t else part)
+            row["character_count"], row["word_count"] = bare_counts(parse(body, again, False) if t else part)
         return row
 
     out = []

@@ -6,7 +6,8 @@ Byte ranges are exclusive and refer to the UTF-8 source; a start's range spans i
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 CONTAINERS = (
     "paragraph", "heading", "blockquote", "code_block", "html_block", "list", "ordered_list", "list_item",
@@ -24,8 +25,8 @@ class Event:
     text: str = ""
     level: int | None = None
     id: str | None = None
-    classes: list[str] = field(default_factory=list)
-    attrs: list[tuple[str, str | None]] = field(default_factory=list)
+    classes: Sequence[str] = ()
+    attrs: Sequence[tuple[str, str | None]] = ()
     dest: str | None = None
     title: str | None = None
     link_type: str | None = None

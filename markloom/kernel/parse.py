@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 from .blocks import Block, Blocks, split_row
 from .events import Event
@@ -120,25 +121,29 @@ class Walk:
                 place = {"start": at + offset, "end": at + offset + len(text)}
                 align = b.align[k]
                 put(Event("start", "table_cell", align=[align], **place))
-                before = len(self.out)
                 # a pipe that was escaped for the table is a plain one to what is inside
                 self.inline([(at + offset, re.sub(r"\\\|", "|", text))])
-                del before
                 put(Event("end", "table_cell", align=[align], **place))
             put(Event("end", kind, **own))
         put(Event("end", "table", align=b.align, **span))
 
 
-def parse(source: str, syntax: Syntax = Syntax()) -> list[Event]:
-    """The events of a source, offsets in bytes of its UTF-8."""
+WIDE = re.compile(r"[^\x00-\x7f]")
+
+
+def parse(source: str, syntax: Syntax = Syntax(), offsets: bool = True) -> list[Event]:
+    """The events of a source, their ranges in bytes of its UTF-8 (left in characters if no one asks
+    for offsets)."""
     if not source:
         return []
     out = Walk(Blocks(source, syntax), syntax).out
-    if not source.isascii():
-        size, at = [0], 0
-        for c in source:
-            at += 1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4
-            size.append(at)
+    if offsets and not source.isascii():
+        # what the wide characters up to a place add to it
+        places, more, total = [], [0], 0
+        for m in WIDE.finditer(source):
+            places.append(m.start())
+            total += 1 if m[0] < "\u0800" else 2 if m[0] < "\U00010000" else 3
+            more.append(total)
         for e in out:
-            e.start, e.end = size[min(e.start, len(source))], size[min(e.end, len(source))]
+            e.start, e.end = e.start + more[bisect_left(places, e.start)], e.end + more[bisect_left(places, e.end)]
     return out

@@ -39,7 +39,7 @@ def to_html(df: DataFrame, options: Given = None, on_error: str = "raise") -> Da
     """df (source and any other columns) with source replaced by its HTML."""
     o = resolve(options)
     syntax = o.syntax()
-    return one(df, "html", lambda s: html_of(filters.apply(parse(s, syntax), o)) if s else "", on_error)
+    return one(df, "html", lambda s: html_of(filters.apply(parse(s, syntax, False), o)) if s else "", on_error)
 
 
 def to_markdown(df: DataFrame, options: Given = None, on_error: str = "raise") -> DataFrame:
@@ -50,7 +50,7 @@ def to_markdown(df: DataFrame, options: Given = None, on_error: str = "raise") -
 
 def to_plain_text(df: DataFrame, options: Given = None, on_error: str = "raise") -> DataFrame:
     o = resolve(options)
-    return one(df, "plain_text", lambda s: plain_of(filters.apply(filters.content(parse(s, o.syntax())), o)) if s else "", on_error)
+    return one(df, "plain_text", lambda s: plain_of(chunks.filtered(s, o)) if s else "", on_error)
 
 
 def truncate_markdown(df: DataFrame, options: Given = None, on_error: str = "raise", **budget: object) -> DataFrame:
@@ -69,8 +69,8 @@ def event_rows(events: list[Event]) -> list[dict]:
             nodes += 1
             block += not open_
         row = {"seq": seq, "op": e.op, "kind": e.kind, "depth": depth, "node_id": node, "parent_id": open_[-1] if open_ else None, "block_id": block, "byte_start": e.start, "byte_end": e.end}
-        row |= {k: getattr(e, k) for k in ("text", "level", "id", "classes", "dest", "title", "link_type", "ref_id", "lang", "fenced", "list_start", "align", "alert", "checked", "label")}
-        out.append(row)
+        row |= {k: getattr(e, k) for k in ("text", "level", "id", "dest", "title", "link_type", "ref_id", "lang", "fenced", "list_start", "align", "alert", "checked", "label")}
+        out.append(row | {"classes": list(e.classes)})
         if e.op == "start":
             open_.append(node)
     return out
@@ -85,7 +85,7 @@ def parse_events(df: DataFrame, options: Given = None) -> DataFrame:
 def filtered_events(df: DataFrame, options: Given = None) -> DataFrame:
     """The event table after the filters, without frontmatter."""
     o = resolve(options)
-    return kernel(df, lambda s: event_rows(chunks.filtered(s, o)), struct(EVENTS))
+    return kernel(df, lambda s: event_rows(chunks.filtered(s, o, True)), struct(EVENTS))
 
 
 def extract(df: DataFrame, kind: str, options: Given = None) -> DataFrame:
