@@ -473,6 +473,13 @@ case("u7_markdown_mutation", "part", "p_name", lambda df: D.to_html_with(df, Han
 case("u9_container_text", "part", f"'a `b` *' || p_name || '*' || {NL} || 'c'", lambda df: D.walk(df, Handlers().on("paragraph", lambda e: e.text)), {"value": "'a b ' || p_name || 'c'"})
 
 
+case("u3_handlers_then_filters", "pages", LINK, lambda df: D.to_html_with(df, Handlers().on("link", lambda e: setattr(e, "title", "t")), {"links": {"nofollow": True}}), {"html": p("'<a href=\"' || replace(url, '&', '&amp;') || '\" title=\"t\" rel=\"nofollow noopener\">p' || page_id || '</a>'")})
+case("u4_element_source", "part", "'x **' || p_name || '** y'", lambda df: D.walk(df, Handlers().on("strong", lambda e: e.source)), {"value": "'**' || p_name || '**'"})
+case("u8_event_fields", "part", "'> x *' || p_name || '*'", lambda df: D.walk(df, Handlers().on("emphasis", lambda e: f"{e.byte_range}{[c.kind for c in e.children]}")), {"value": "'(4, ' || (6 + length(p_name)) || ')[''text'']'", "depth": "2", "parent_kind": "'paragraph'"})
+case("w1a_boundaries", "part", f"'- # ' || p_name || {NL} || {NL} || '# ' || p_name || {NL} || {NL} || '> ## q'", lambda df: R.sections(R.headings(D.parse_events(df))), {"heading": "p_name", "id": f"{P} || '-1'"})
+case("w1c_breadcrumb", "part", f"'# ' || p_name || {NL} || {NL} || '### deep' || {NL} || {NL} || 'x'", lambda df: R.sections(R.headings(D.parse_events(df))).where("level = 3").withColumn("path", F.array_join("breadcrumb", "/")), {"path": "p_name", "heading": "'deep'"})
+
+
 @query("t1_table_functions", f"SELECT p_partkey::BIGINT AS doc_id, i AS index, CASE i WHEN 0 THEN p_name || {NL} || {NL} || 'second block' ELSE repeat('x', 60) END AS content FROM part, (VALUES (0), (1)) s(i)")
 def t1(spark: SparkSession, sf_dir: str) -> DataFrame:
     S.register(spark)

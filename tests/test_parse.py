@@ -182,6 +182,19 @@ def test_options_merge_compare_and_resolve():
         Windows(chars=5, overlap=5)
 
 
+def test_process_defaults_are_copied_on_write(monkeypatch):
+    from markloom.kernel import options as module
+
+    monkeypatch.setattr(module, "_default", module._default)
+    before = module.default_options()
+    module.configure(hard_wrap=True, toc={"depth": 2})
+    assert resolve(None)["hard_wrap"] and resolve(None).toc_depth == 2 and not before["hard_wrap"]
+    assert resolve(None).merge(toc=False).toc_depth == 2
+    full = Options.of(statistics=True).collecting()
+    assert full.toc and full["headings"]["ids"] and full["extract"] == {"headings": True}
+    assert set(Options.of().to_dict()) >= {"tables", "links", "toc", "extract"}
+
+
 MARKS = st.text(alphabet="ab \n*_`[]()<>#-+1.|~!\\&>\t:", max_size=60)
 
 
