@@ -45,15 +45,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes the files of stored() tables that no later plan reads."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for frame in frames:
-        for path in {f.rpartition("/")[0] for f in frame.inputFiles()}:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-
-
 def byte_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """The column's values as UTF-8, without a detour over str."""
     at = batch.column(name)
