@@ -120,6 +120,12 @@ def special_of(syntax: Syntax) -> re.Pattern:
     return re.compile(rf"[\\`*_\[\]!<&\n{re.escape(extra)}]")
 
 
+@lru_cache(maxsize=64)
+def marked_of(syntax: Syntax) -> re.Pattern:
+    """special_of() without the line end."""
+    return re.compile(special_of(syntax).pattern.replace(r"\n", "", 1))
+
+
 class Inlines:
     """The inline events of one leaf block. Offsets are places in the joined text."""
 

@@ -7,7 +7,7 @@ from bisect import bisect_left
 
 from .blocks import Block, Blocks, split_row
 from .events import Event
-from .inlines import Inlines, located
+from .inlines import Inlines, located, marked_of
 from .syntax import Syntax
 
 TASK = re.compile(r"\[([ xX\t\n])\](?=[ \t\n]|$)[ \t]?")
@@ -24,11 +24,24 @@ class Walk:
         """The inline events of a leaf's lines; blanks at line ends belong to breaks."""
         if not lines:
             return
-        text = "\n".join(x for _, x in lines)
+        text = "\n".join([x for _, x in lines])
+        if not marked_of(self.syntax).search(text):
+            self.prose(lines)
+            return
         body = text.rstrip(" \t")
         events = Inlines(body, self.syntax, self.blocks.references, self.blocks.footnotes).events()
         self.out += located(events, lines)
 
+    def prose(self, lines: list[tuple[int, str]]) -> None:
+        """Lines without any mark: texts and breaks."""
+        put, last = self.out.append, len(lines) - 1
+        for k, (at, x) in enumerate(lines):
+            body = x.rstrip(" \t")
+            if body:
+                put(Event("leaf", "text", body, start=at, end=at + len(body)))
+            if k < last:
+                put(Event("leaf", "hard_break" if x.endswith("  ") else "soft_break", start=at + len(x), end=at + len(x) + 1))
+
     def block(self, b: Block, tight: bool) -> None:
         put, kind, span = self.out.append, b.kind, {"start": b.start, "end": b.end}
         if kind == "paragraph":
