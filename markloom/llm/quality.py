@@ -78,7 +78,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, list[float]]], labels: np.ndarray) -> Model:
+def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
     """Logistic loss by sparse AdaGrad, in a fixed order: EPOCHS passes, and UPDATES steps at least.
     Without both labels: a constant score."""
     size, random = BUCKETS + STATISTICS * BINS, np.random.default_rng(SEED)
@@ -141,11 +141,17 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32())), pa.array(stats, pa.list_(pa.float64()))], names=["doc_id", "quality", "at", "x", "stats"])
 
     found = slim(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text", "n_chars", "quality").mapInArrow(run, "doc_id long, quality int, at array<int>, x array<float>, stats array<double>").toArrow()
-    found = found.sort_by([("doc_id", "ascending")]).combine_chunks()
-    rows = [(np.array(a, np.int32), np.array(x, np.float32), s) for a, x, s in zip(*(found.column(c).to_pylist() for c in ("at", "x", "stats")), strict=True)]
+    found = found.sort_by([("doc_id", "ascending")])
+    rows = list(zip(*(arrays(found.column(c).combine_chunks()) for c in ("at", "x", "stats")), strict=True))
     return fit(rows, (found.column("quality").to_numpy() > 0).astype(float))
 
 
+def arrays(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column as views of its values."""
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; a null text scores as an empty one. Texts
     of any length count whole. lang, source, labels and doc_id are no inputs."""
