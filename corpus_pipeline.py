@@ -15,9 +15,9 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: later copies of runs of two lines or more are cut out; a document that loses
-    every line goes."""
-    return lines.dedup_text(docs, 2)
+    """Operator 10: later copies of runs of any length, one line too, are cut out; a document that
+    loses every line goes."""
+    return lines.dedup_text(docs, 1)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -159,6 +159,14 @@ def test_repeated_lines_of_odd_tables(spark):
     assert [(r.doc_id, r.start, r.lines) for r in runs] == [(2, 1, 4)]
 
 
+def test_pipeline_cuts_single_repeated_lines(spark):
+    import corpus_pipeline
+
+    rows = [(1, "x\na b c\ny"), (2, "p\na b c\n\nq"), (3, "a b c"), (4, "only here")]
+    left = corpus_pipeline.dedup_lines(spark, frame(spark, rows), "")
+    assert {r.doc_id: r.text for r in left.collect()} == {1: "x\na b c\ny", 2: "p\n\nq", 4: "only here"}
+
+
 def test_native_operator_has_no_python(spark):
     plan = lines.dedup_digest(frame(spark, {1: "a\nb"}), 2)._jdf.queryExecution().toString()
     assert "InArrow" not in plan and "Python" not in plan
