@@ -5,9 +5,9 @@ doubling: rank j orders them by their first 2^j lines, and the pair of rank j he
 2^j lines on gives rank j + 1. A level is ranked by range partitions, each counted and numbered
 from the sum of those before it, so no task sorts all names. Suffixes whose prefix occurs once
 leave at once: they share no interval with any other. Doubling ends at the run length asked for;
-there a rank is an interval of suffixes with a common prefix of that length, and neighbouring
-suffixes of that kind are the maximal repeated runs. Every copy but the first in (doc_id, line)
-order is deleted.
+there suffixes with a common prefix of that length are grouped by it, without a rank, and
+neighbouring suffixes that are no first copy join to maximal repeated runs, which are deleted.
+Copies count in (doc_id, line) order.
 """
 
 from __future__ import annotations
@@ -49,11 +49,13 @@ def numbered(names: DataFrame, order: list[str]) -> DataFrame:
     return ranged.withColumn("place", place).join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.col("place")).drop("part", "place", "before")
 
 
-def ranked(suffixes: DataFrame, by: list[str]) -> DataFrame:
-    """The suffixes whose `by` occurs at least twice: KEY, o, rank, first (of that prefix)."""
+def shared(suffixes: DataFrame, by: list[str], rank: bool) -> DataFrame:
+    """The suffixes whose `by` occurs at least twice: KEY, o, first (of that prefix), and their rank if asked for."""
     here = F.struct("doc_id", "t", "o")
     names = suffixes.groupBy(*by).agg(F.count("*").alias("copies"), F.min(here).alias("first")).where("copies > 1")
-    return stored(suffixes.join(numbered(names, by), by).select(*KEY, "o", "rank", "first"), "ranks")
+    # stored, as then a very common name's join can be dealt anew
+    names = numbered(names, by) if rank else stored(names, "names")
+    return stored(suffixes.join(names, by).select(*KEY, "o", "first", *["rank"][:rank]), "ranks")
 
 
 def shifted(level: DataFrame, by: int) -> DataFrame:
@@ -68,32 +70,31 @@ def repeated_windows(docs: DataFrame, least: int) -> DataFrame:
     line = letting(F.split("text", "\n"), lambda a: F.transform(F.filter(a, lambda x: x.rlike(WORD)), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b"))))
     lines = texts.select(*KEY, F.posexplode(line).alias("o", "x")).select(*KEY, F.col("o").cast("long").alias("o"), "x.a", "x.b")
     # rows that share id and text are one document
-    level, width = ranked(stored(lines.dropDuplicates([*KEY, "o"]), "lines"), ["a", "b"]), 1
-    while 2 * width <= least:
-        level, width = ranked(shifted(level, width), ["a", "b"]), 2 * width
-    if width < least:
-        level = ranked(shifted(level, least - width), ["a", "b"])
+    level, width = shared(stored(lines.dropDuplicates([*KEY, "o"]), "lines"), ["a", "b"], least > 1), 1
+    while width < least:
+        by = min(width, least - width)
+        level, width = shared(shifted(level, by), ["a", "b"], width + by < least), width + by
     return level.where(F.col("first") < F.struct("doc_id", "t", "o")).select(*KEY, "o")
 
 
 def maximal_runs(docs: DataFrame, least: int = 2) -> DataFrame:
-    """The later copies of maximal repeated runs: doc_id, start (among the lines with a word), lines."""
+    """The later copies of maximal repeated runs: KEY, start (among the lines with a word), lines."""
     on = Window.partitionBy(*KEY).orderBy("o")
     runs = repeated_windows(docs, least).withColumn("run", F.col("o") - F.row_number().over(on))
-    return runs.groupBy(*KEY, "run").agg(F.min("o").alias("start"), (F.count("*") + least - 1).alias("lines")).select("doc_id", "start", "lines")
+    return runs.groupBy(*KEY, "run").agg(F.min("o").alias("start"), (F.count("*") + least - 1).alias("lines")).select(*KEY, "start", "lines")
 
 
 def cut(docs: DataFrame, least: int) -> DataFrame:
     """docs with __removed (how many lines go), __lines (lines with a word) and __kept (the text left)."""
-    late = repeated_windows(docs, least).groupBy(*KEY).agg(F.collect_list("o").alias("__starts")).withColumnsRenamed({"doc_id": "__doc", "t": "__t"})
+    late = maximal_runs(docs, least).groupBy(*KEY).agg(F.collect_list(F.struct("start", "lines")).alias("__runs")).withColumnsRenamed({"doc_id": "__doc", "t": "__t"})
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     same = (F.col("doc_id").cast("long") == F.col("__doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__t"))
-    orders = F.array_distinct(F.flatten(F.transform("__starts", lambda s: F.sequence(s, s + least - 1))))
+    orders = F.array_distinct(F.flatten(F.transform("__runs", lambda r: F.sequence(r["start"], r["start"] + r["lines"] - 1))))
     gone = letting(written_lines(text), lambda w: F.transform(orders, lambda o: w[o.cast("int")]))
     left = letting(F.split(text, "\n"), lambda a: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), gone), lambda i: a[i]), "\n"))
     out = docs.join(late, same, "left")
-    removed = F.when(F.col("__starts").isNull(), F.lit(0)).otherwise(F.size(orders)).cast("long")
-    kept = F.when(F.col("__starts").isNull(), F.col("text").cast("string")).otherwise(left)
+    removed = F.when(F.col("__runs").isNull(), F.lit(0)).otherwise(F.size(orders)).cast("long")
+    kept = F.when(F.col("__runs").isNull(), F.col("text").cast("string")).otherwise(left)
     return out.withColumns({"__removed": removed, "__lines": F.size(written_lines(text)).cast("long"), "__kept": kept})
 
 

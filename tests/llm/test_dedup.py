@@ -167,6 +167,15 @@ def test_pipeline_cuts_single_repeated_lines(spark):
     assert {r.doc_id: r.text for r in left.collect()} == {1: "x\na b c\ny", 2: "p\n\nq", 4: "only here"}
 
 
+def test_deletions_come_from_maximal_runs(spark, monkeypatch):
+    found = []
+    whole = lines.maximal_runs
+    monkeypatch.setattr(lines, "maximal_runs", lambda *a: found.append(whole(*a)) or found[-1])
+    left = lines.dedup_text(frame(spark, {1: "a\nb\nc\nd\ne", 2: "z\na\nb\nc\n\nd\ny\nb\nc"}), 2)
+    assert {r.doc_id: r.text for r in left.collect()} == {1: "a\nb\nc\nd\ne", 2: "z\n\ny"}
+    assert sorted((r.doc_id, r.start, r.lines) for r in found[0].collect()) == [(2, 1, 4), (2, 6, 2)]
+
+
 def test_native_operator_has_no_python(spark):
     plan = lines.dedup_digest(frame(spark, {1: "a\nb"}), 2)._jdf.queryExecution().toString()
     assert "InArrow" not in plan and "Python" not in plan
