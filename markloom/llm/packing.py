@@ -4,7 +4,10 @@ Documents become token pieces; pieces are packed into sequences of a fixed lengt
 packs its pieces by best-fit decreasing, and dual-feasible functions bound from below how many
 sequences they need. Where both agree the partition is certified and done. Elsewhere the full
 sequences stay, and the pieces of the sequences with gaps go to a pool that is dealt anew over
-fewer partitions and packed again, until a round is certified or one partition held all the pool.
+fewer partitions and packed again, until all are certified or one partition held all the pool.
+A pool that hardly shrinks, or is left after the last round, is packed as one too: best-fit
+decreasing needs lengths only, so the driver packs the counts of each length and the pieces find
+their places by their rank among those of their length.
 """
 
 from __future__ import annotations
@@ -16,14 +19,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import Remembered
 from .common import byte_column, doc_texts, in_chunks, session_of, stored
 
-#: Pieces that one partition packs at a time, and the most rounds of exchange.
+#: Pieces that one partition packs at a time, and the most rounds; the last packs what is left as one.
 PARTITION_PIECES, ROUNDS = 50_000, 6
 #: Bytes of text between two calls of the library; parts that a worker remembers (about 200 bytes each).
 CALL_BYTES, KEPT = 4 << 20, 1_600_000
@@ -162,6 +165,58 @@ def packer(limit: int, turn: int, last: bool) -> Callable[[tuple, pa.Table], pa.
     return packed
 
 
+def best_fit_counts(counts: dict[int, int], limit: int) -> np.ndarray:
+    """best_fit_decreasing() of counts[n] pieces of each length n, alike sequences at once. Rows: length, the
+    first rank of its pieces that the row holds for, their first sequence, pieces a sequence, offset."""
+    stacks: list[list[tuple[int, int]]] = [[] for _ in range(limit + 1)]
+    opened = mask = 0
+    steps = []
+    for n, count in sorted(counts.items(), reverse=True):
+        rank = 0
+        while rank < count:
+            if fits := mask >> n:
+                left = n + (fits & -fits).bit_length() - 1
+                first, alike = stacks[left].pop()
+                if not stacks[left]:
+                    mask ^= 1 << left
+            else:
+                left, first, alike = limit, opened, -(-(count - rank) // (limit // n))
+                opened += alike
+            each = min(left // n, count - rank)
+            filled = min(alike, (count - rank) // each)
+            steps.append((n, rank, first, each, limit - left))
+            rank += filled * each
+            for room, some in ((left - each * n, (first, filled)), (left, (first + filled, alike - filled))):
+                if room and some[1]:
+                    stacks[room].append(some)
+                    mask |= 1 << room
+    return np.array(sorted(steps), np.int64).reshape(-1, 5)
+
+
+def pack_as_one(pool: DataFrame, limit: int, turn: int, parts: int) -> DataFrame:
+    """pool with sequence_id and offset, as if one partition packed all of it. `parts` tasks at
+    least rank the pieces of a length, so a common length is not in one task."""
+    counts = {r["length"]: r["count"] for r in pool.groupBy("length").count().collect()}
+    steps = best_fit_counts(counts, limit)
+    keys = steps[:, 0] << 48 | steps[:, 1]
+    names = [c for c in pool.columns if c != "__row"]
+    dealt = pool.withColumn("__part", F.pmod(F.xxhash64("__row", F.lit(turn)), F.lit(parts)).cast("int"))
+    dealt = stored(dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__part").orderBy("__row")).cast("long")), "ranked")
+    sizes = dealt.groupBy("length", "__part").agg(F.count("*").alias("n"))
+    before = sizes.select("length", "__part", (F.sum("n").over(Window.partitionBy("length").orderBy("__part")) - F.col("n") - 1).alias("__before"))
+    placed = dealt.join(before, ["length", "__part"]).select(*names, (F.col("__before") + F.col("__rank")).alias("__rank"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, rank = (batch.column(c).to_numpy() for c in ("length", "__rank"))
+            n, start, first, each, offset = steps[np.searchsorted(keys, length << 48 | rank, "right") - 1].T
+            own = [pa.array((turn + 1 << 56) + first + (rank - start) // each), pa.array(offset + (rank - start) % each * n)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *own], names=[*names, "sequence_id", "offset"])
+
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pool.schema if f.name in names)
+    return stored(placed.mapInArrow(run, f"{shape}, sequence_id long, offset long"), "as-one")
+
+
 def pack(pieces: DataFrame, limit: int) -> DataFrame:
     """pieces with sequence_id and offset. Lengths are 1 to limit. An empty table packs to an empty
     one; equal rows are packed each."""
@@ -177,14 +232,16 @@ def pack(pieces: DataFrame, limit: int) -> DataFrame:
         if not count:
             break
         parts = -(-count // PARTITION_PIECES)
-        last = parts == 1 or turn == ROUNDS - 1 or before is not None and count > 0.97 * before
+        if parts > 1 and (turn == ROUNDS - 1 or before is not None and count > 0.97 * before):
+            done.append(pack_as_one(pool, limit, turn, parts))
+            break
         before = count
 
         # a piece's partition is drawn anew in each round; every partition gets about as many pieces
         dealt = pool.withColumn("__part", F.pmod(F.xxhash64("__row", F.lit(turn)), F.lit(parts)).cast("int"))
-        result = stored(dealt.groupBy("__part").applyInArrow(packer(limit, turn, last), shape), f"packed{turn}")
+        result = stored(dealt.groupBy("__part").applyInArrow(packer(limit, turn, parts == 1), shape), f"packed{turn}")
         done.append(result.where("__done").select(*names, "sequence_id", "offset"))
-        if last:
+        if parts == 1:
             break
         pool = result.where("NOT __done").select(*names, "__row")
     out = done[0]

@@ -82,6 +82,37 @@ def test_lower_bound_knows_large_pieces():
     assert packing.pack_documents.__doc__
 
 
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_uncertified_pool_is_packed_as_one(spark, monkeypatch, rounds):
+    monkeypatch.setattr(packing, "PARTITION_PIECES", 60)
+    monkeypatch.setattr(packing, "ROUNDS", rounds)
+    lengths = np.random.default_rng(1).integers(15, 45, 600)
+    pieces = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(lengths)], packing.PIECE_COLUMNS)
+    rows = packing.pack(pieces, 64).collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths.tolist()))
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in sequences.values():
+        own.sort()
+        assert [at for at, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 64
+    whole = len(packing.best_fit_decreasing(lengths, 64)[2])
+    # before the last round, each of the 10 partitions that is certified may round up by one
+    assert len(sequences) == whole if rounds == 1 else len(sequences) <= whole + 10
+
+
+def test_packing_by_counts_equals_best_fit_decreasing():
+    r = np.random.default_rng(2)
+    for limit in (7, 64, 2048):
+        for low in (1, limit // 3):
+            lengths = r.integers(low, limit, 3000)
+            steps = packing.best_fit_counts(Counter(lengths.tolist()), limit)
+            count = Counter(lengths.tolist())
+            after = {(n, start): stop for (n, start), (m, stop) in zip(steps[:, :2].tolist(), [*steps[1:, :2].tolist(), [0, 0]], strict=True) if m == n}
+            last = {first + (after.get((n, start), count[n]) - start - 1) // each for n, start, first, each, _ in steps.tolist()}
+            assert max(last) + 1 == len(packing.best_fit_decreasing(lengths, limit)[2])
+
+
 def test_packing_of_an_empty_table(spark):
     assert packing.pack_documents(odd_frame(spark).limit(0), queries.vocabulary(), 64).count() == 0
 
