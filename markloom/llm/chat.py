@@ -2,7 +2,8 @@
 
 A transcript is a sequence of lines. Its hidden states say who speaks in a line and whether a turn
 begins there; speaker markers and line features are what is seen. Viterbi finds the most probable
-states, and turns are rendered under one header each.
+states, and turns are rendered under one header each. The header replaces the marker where a turn
+begins; lines that go on keep what looks like one, and the blank lines before them.
 
 A conversation may be as long as a third of the table. Rows are dealt in order to parts of bounded
 size, so a long conversation spans many. For one that crosses an edge, a part first gives the best
@@ -67,21 +68,29 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 FIRST_LOG, MOVE, SEEN = tables()
 
 
-def observed(text: str | None) -> tuple[list[str], list[int]]:
-    """The lines of a piece without their markers, and their feature codes. Blank lines are no lines
-    of their own; they tell something about the next."""
+def observed(text: str | None) -> tuple[list[tuple[int, str, str]], list[int], int]:
+    """The lines of a piece (blank lines before it, the line, the line without its marker), their
+    feature codes, and the blank lines at the end. Blank lines are no lines of their own; they tell
+    something about the next."""
     lines, codes, blank = [], [], 0
-    for line in (text or "").split("\n"):
+    for line in (text or "").removesuffix("\n").split("\n") if text else ():
         if not line.strip():
-            blank = 1
+            blank += 1
             continue
         m = MARKER.match(line)
         body = line[m.end() :] if m else line
         marker = 1 + NAMES[(m["a"] or m["b"] or m["c"]).lower()] if m else 0
-        codes.append(((marker * 2 + blank) * 2 + body.rstrip().endswith("?")) * 2 + body[:1].islower())
-        lines.append(body)
+        codes.append(((marker * 2 + (blank > 0)) * 2 + body.rstrip().endswith("?")) * 2 + body[:1].islower())
+        lines.append((blank, line, body))
         blank = 0
-    return lines, codes
+    return lines, codes, blank
+
+
+def blanks_after(pieces: list[tuple[list, list[int], int]], before: int = 0) -> int:
+    """Blank lines since the last line of observed pieces, or since `before` of them."""
+    for lines, _, end in pieces:
+        before = end if lines else before + end
+    return before
 
 
 def advance(score: np.ndarray, codes: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -134,32 +143,34 @@ def edges(key: tuple, part: pa.Table) -> pa.Table:
     texts = part.column("__text")
     out: dict[str, list] = {"part": [key[0].as_py()], "single": [len(spans) == 1]}
     for name, (start, stop) in (("first", spans[0]), ("last", spans[-1])):
-        codes = [c for t in texts.slice(start, stop - start).to_pylist() for c in observed(t)[1]]
+        pieces = [observed(t) for t in texts.slice(start, stop - start).to_pylist()]
+        codes = [c for _, own, _ in pieces for c in own]
         out[f"{name}_c0"], out[f"{name}_c1"] = [part.column(KEY[0])[start].as_py()], [part.column(KEY[1])[start].as_py()]
-        out[f"{name}_lines"] = [len(codes)]
+        out[f"{name}_lines"], out[f"{name}_blanks"] = [len(codes)], [blanks_after(pieces)]
         out[f"{name}_begin"], out[f"{name}_pass"] = [begin(codes)[0].tolist()], [transfer(codes).ravel().tolist()]
     return pa.table(out).cast(pa.schema([(n, t) for n, t in EDGE_TYPES]))
 
 
-EDGE_TYPES = [("part", pa.int32()), ("single", pa.bool_())] + [(f"{e}_{n}", t) for e in ("first", "last") for n, t in (("c0", pa.int32()), ("c1", pa.int64()), ("lines", pa.int64()), ("begin", pa.list_(pa.float64())), ("pass", pa.list_(pa.float64())))]
-EDGES = "part int, single boolean, " + ", ".join(f"{e}_c0 int, {e}_c1 long, {e}_lines long, {e}_begin array<double>, {e}_pass array<double>" for e in ("first", "last"))
+EDGE_TYPES = [("part", pa.int32()), ("single", pa.bool_())] + [(f"{e}_{n}", t) for e in ("first", "last") for n, t in (("c0", pa.int32()), ("c1", pa.int64()), ("lines", pa.int64()), ("blanks", pa.int64()), ("begin", pa.list_(pa.float64())), ("pass", pa.list_(pa.float64())))]
+EDGES = "part int, single boolean, " + ", ".join(f"{e}_c0 int, {e}_c1 long, {e}_lines long, {e}_blanks long, {e}_begin array<double>, {e}_pass array<double>" for e in ("first", "last"))
 
 
-def chain(rows: list[dict]) -> dict[int, tuple[np.ndarray | None, bool, int | None]]:
+def chain(rows: list[dict]) -> dict[int, tuple[np.ndarray | None, bool, int, int | None]]:
     """For each part that a conversation enters or leaves: (scores it begins with, whether lines came
-    before, the state its last line is in). rows: edges() in order of the parts."""
+    before, blank lines since the last of them, the state its last line is in). rows: edges() in order of the parts."""
     same = [False][: len(rows)] + [(a["last_c0"], a["last_c1"]) == (b["first_c0"], b["first_c1"]) for a, b in zip(rows, rows[1:], strict=False)]
-    entry: list[tuple[np.ndarray | None, bool]] = []
-    after: tuple[np.ndarray, bool] = (FIRST_LOG, False)
+    entry: list[tuple[np.ndarray | None, bool, int]] = []
+    after: tuple[np.ndarray, bool, int] = (FIRST_LOG, False, 0)
 
-    def through(row: dict, edge: str, given: tuple[np.ndarray, bool] | None) -> tuple[np.ndarray, bool]:
+    def through(row: dict, edge: str, given: tuple[np.ndarray, bool, int] | None) -> tuple[np.ndarray, bool, int]:
+        lines, blanks = row[f"{edge}_lines"], row[f"{edge}_blanks"]
         if given is None or not given[1]:
-            return np.array(row[f"{edge}_begin"]), row[f"{edge}_lines"] > 0
-        return (given[0][:, None] + np.array(row[f"{edge}_pass"]).reshape(STATES, STATES)).max(axis=0), True
+            return np.array(row[f"{edge}_begin"]), lines > 0, blanks
+        return (given[0][:, None] + np.array(row[f"{edge}_pass"]).reshape(STATES, STATES)).max(axis=0), True, blanks if lines else given[2] + blanks
 
     for row, goes_on in zip(rows, same, strict=True):
         given = after if goes_on else None
-        entry.append(given if given else (None, False))
+        entry.append(given if given else (None, False, 0))
         after = through(row, "last", given if row["single"] else None)
     exits: list[int | None] = [None] * len(rows)
     for p in range(len(rows) - 1, 0, -1):
@@ -176,22 +187,26 @@ def chain(rows: list[dict]) -> dict[int, tuple[np.ndarray | None, bool, int | No
     return {row["part"]: (*e, x) for row, e, x in zip(rows, entry, exits, strict=True) if e[1] or x is not None}
 
 
-def decode(known: dict[int, tuple[np.ndarray | None, bool, int | None]]) -> Callable[[tuple, pa.Table], pa.Table]:
+def decode(known: dict[int, tuple[np.ndarray | None, bool, int, int | None]]) -> Callable[[tuple, pa.Table], pa.Table]:
     def run(key: tuple, part: pa.Table) -> pa.Table:
-        scores, entered, leaves = known.get(key[0].as_py(), (None, False, None))
+        scores, entered, carried, leaves = known.get(key[0].as_py(), (None, False, 0, None))
         part, spans = runs(part)
         pieces = [observed(t) for t in part.column("__text").to_pylist()]
         roles, starts, rendered = [], [], []
         for i, (start, stop) in enumerate(spans):
-            codes = [c for _, own in pieces[start:stop] for c in own]
+            codes = [c for _, own, _ in pieces[start:stop] for c in own]
             score, back = advance(scores, codes) if i == 0 and entered else begin(codes)
             state = leaves if leaves is not None and i == len(spans) - 1 else int(score.argmax())
             states = iter(backtrack(back, state))
-            for lines, _ in pieces[start:stop]:
+            blanks = carried if i == 0 and entered else 0
+            for piece in pieces[start:stop]:
+                lines = piece[0]
                 own = [next(states) for _ in lines]
                 roles.append([ROLES[s // 2] for s in own])
                 starts.append([j for j, s in enumerate(own) if s % 2 == 0])
-                rendered.append("".join(f"<|{ROLES[s // 2]}|>\n{x}\n" if s % 2 == 0 else f"{x}\n" for x, s in zip(lines, own, strict=True)))
+                gaps = [n if j else n + blanks for j, (n, _, _) in enumerate(lines)]
+                rendered.append("".join(f"<|{ROLES[s // 2]}|>\n{body}\n" if s % 2 == 0 else "\n" * n + f"{line}\n" for n, (_, line, body), s in zip(gaps, lines, own, strict=True)))
+                blanks = blanks_after([piece], blanks)
         out = part.select(["conv_id", "turn"])
         for name, x, kind in (("line_roles", roles, pa.list_(pa.string())), ("turn_starts", starts, pa.list_(pa.int32())), ("rendered", rendered, pa.string())):
             out = out.append_column(name, pa.array(x, kind))

@@ -208,6 +208,16 @@ def test_chat_equals_one_pass(spark, monkeypatch):
                     assert got[conv, turn] == [chat.ROLES[next(states) // 2] for _ in own]
 
 
+@pytest.mark.parametrize("part", [1, 1000])
+def test_chat_keeps_words_and_blank_lines_inside_turns(spark, monkeypatch, part):
+    monkeypatch.setattr(chat, "PART_ROWS", part)
+    rows = [(1, 0, "User: What is it?\n"), (1, 1, "Assistant: Here is a list.\nanswer: yes it is\n\nand more\n\n"), (1, 2, " \n"), (1, 3, "and the rest"), (1, 4, "\nUser: Why?")]
+    got = chat.canonical_turns(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()
+    assert [x for _, x in sorted((r.turn, r.rendered) for r in got)] == [
+        "<|user|>\nWhat is it?\n", "<|assistant|>\nHere is a list.\nanswer: yes it is\n\nand more\n", "", "\n\nand the rest\n", "<|user|>\nWhy?\n",
+    ]
+
+
 def test_chat_recovers_roles(spark, duck):
     roles = {(c, t): r for c, t, r in duck.execute("SELECT conv_id, turn, role FROM conversations").fetchall()}
     rows = queries.op3_chat_formatting(spark, SMALL).collect()
