@@ -72,6 +72,26 @@ def in_chunks(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iter
         yield batch.slice(start)
 
 
+def gathered(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Joins batches, and cuts them, so that the texts of each piece hold about `most` bytes; a
+    longer single text comes alone."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.concat_batches(held)
+
+    for piece in in_chunks(batches, column, most):
+        own = piece.column(column).nbytes
+        if held and size + own > most:
+            yield joined()
+            held, size = [], 0
+        held.append(piece)
+        size += own
+    if held:
+        yield joined()
+
+
 def doc_texts(docs: DataFrame, *more: str) -> DataFrame:
     """Only the columns that an operator needs, so that no other column's name can clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)

@@ -12,7 +12,6 @@ their places by their rank among those of their length.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -21,65 +20,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from .bpe import Remembered
-from .common import byte_column, doc_texts, in_chunks, session_of, stored
+from .bpe import CALL_BYTES, Remembered, texts_as_ids, word_bpe
+from .common import doc_texts, gathered, session_of, stored
 
 #: Pieces that one partition packs at a time, and the most rounds; the last packs what is left as one.
 PARTITION_PIECES, ROUNDS = 50_000, 6
-#: Bytes of text between two calls of the library; parts that a worker remembers (about 200 bytes each).
-CALL_BYTES, KEPT = 4 << 20, 1_600_000
 PIECE_COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class Encoder:
-    """Ids by the tokenizers library. The vocabulary drops white space and no token spans it, so a
-    text's ids are those of its parts between ASCII white space; each new part is encoded once,
-    many in one call, parted by NUL words, whose id no other word without a NUL can have. See Remembered for how many are kept."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.library = Tokenizer.from_file(path)
-        self.odd = [b"\0", *(x.content.encode() for x in self.library.get_added_tokens_decoder().values())]
-        (self.stop,) = self.library.encode("\0", add_special_tokens=False).ids
-        self.fresh: list[bytes] = []
-        self.known = Remembered(self.later, KEPT)
-
-    def later(self, part: bytes) -> None:
-        self.fresh.append(part)
-
-    def encode_fresh(self) -> dict[bytes, bytes]:
-        found: dict[bytes, bytes] = {}
-        odd = {w for mark in self.odd for w in self.fresh if mark in w}
-        plain = [w for w in self.fresh if w not in odd] if odd else list(self.fresh)
-        texts = [b" \0 ".join(plain[at : at + 1000]).decode("utf-8", "replace") for at in range(0, len(plain), 1000)]
-        for k, e in enumerate(self.library.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.stop), len(ids)).tolist()
-            raw, start = ids.tobytes(), 0
-            for w, end in zip(plain[1000 * k : 1000 * (k + 1)], ends, strict=True):
-                found[w] = raw[4 * start : 4 * end]
-                start = end + 1
-        for w in odd:
-            found[w] = np.array(self.library.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        self.fresh.clear()
-        self.known |= found
-        return found
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = [t.split() for t in texts]
-        parts = [list(map(self.known.__getitem__, p)) for p in split]
-        found = self.encode_fresh() if self.fresh else {}
-        for words, ids in zip(split, parts, strict=True):
-            yield b"".join([found[w] if x is None else x for w, x in zip(words, ids, strict=True)] if None in ids else ids)
-
-
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One per worker and file."""
-    return Encoder(path)
+def encoder(path: str) -> tuple[Remembered, Callable[[list[bytes]], list[bytes]]]:
+    """Per worker and file: the memory of parts of texts, and how new ones are encoded."""
+    bpe = word_bpe(path)
+    return Remembered(), lambda parts: bpe.encode_parts(parts, bpe.merge_together)
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, limit: int) -> DataFrame:
@@ -88,17 +42,22 @@ def token_pieces(docs: DataFrame, vocabulary: str, limit: int) -> DataFrame:
     session_of(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_chunks(batches, "text", CALL_BYTES):
-            rows: list[tuple] = []
-            texts = [x or b"" for x in byte_column(batch, "text")]
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), encoder(vocabulary).encode(texts), strict=True):
-                raw += bytes(4)
-                for piece, at in enumerate(range(0, len(raw), 4 * limit)):
-                    some = raw[at : at + 4 * limit]
-                    rows.append((doc, piece, at // 4, len(some) // 4, zlib.crc32(some)))
-            names = [x.split()[0] for x in PIECE_COLUMNS.split(", ")]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        memory, make = encoder(vocabulary)
+        for batch in gathered(batches, "text", CALL_BYTES):
+            ids, ends = texts_as_ids(batch.column("text"), memory, make)
+            # room for id 0 after the ids of each text
+            whole = np.zeros(len(ids) + batch.num_rows, "<u4")
+            sizes = np.diff(ends)
+            starts = ends[:-1] + np.arange(batch.num_rows)
+            whole[np.arange(len(ids)) + np.repeat(np.arange(batch.num_rows), sizes)] = ids
+            count = sizes // limit + 1  # sizes + 1 ids, cut every `limit`
+            row = np.repeat(np.arange(batch.num_rows), count)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            at = piece * limit
+            length = np.minimum(limit, sizes[row] + 1 - at)
+            begin = starts[row] + at
+            check = [zlib.crc32(whole[a : a + n]) for a, n in zip(begin.tolist(), length.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(at, pa.int64()), pa.array(length, pa.int64()), pa.array(check, pa.int64())], names=[x.split()[0] for x in PIECE_COLUMNS.split(", ")])
 
     return doc_texts(docs).mapInArrow(run, PIECE_COLUMNS)
 
