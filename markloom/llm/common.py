@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: Rows that one Arrow batch brings to Python. Documents reach megabytes, so batches stay short.
 BATCH_ROWS = 256
 
+#: The most keys that met() broadcasts.
+HOT = 1000
+
 
 def session_of(df: DataFrame) -> SparkSession:
     spark = df.sparkSession
@@ -24,9 +27,12 @@ def session_of(df: DataFrame) -> SparkSession:
 
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset
-    (tests on one machine), a temporary folder that is then set for the session."""
+    (tests on one machine), a temporary folder that is then set for the session. A cluster without
+    the setting raises ValueError: its executors share no folder that could be made up here."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="markloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -45,6 +51,31 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a work folder that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def free_prefix(columns: Iterable[str]) -> str:
+    """Underscores that no column's name begins with."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
+def met(left: DataFrame, right: DataFrame, keys: list[str], total: int | None = None) -> DataFrame:
+    """left joined with right on keys that are unique in right. right's column `copies` says how many
+    rows of left have each key, `total` (counted if not given) how many that makes; `copies` does not
+    go on. The keys of a thousandth of all those rows or more, at most HOT of them, are broadcast, so
+    no task gathers the rows of a very common key."""
+    if total is None:
+        total = right.agg(F.sum("copies")).first()[0] or 0
+    hot, cold = (right.where(f"copies * {HOT}L {sign} {total}L").drop("copies") for sign in (">=", "<"))
+    return left.join(F.broadcast(hot), keys).unionByName(left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
 def byte_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """The column's values as UTF-8, without a detour over str."""
     at = batch.column(name)

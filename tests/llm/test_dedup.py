@@ -150,6 +150,38 @@ def test_repeated_lines_equal_brute_force(spark, least):
     assert {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in got} == brute_lines(texts, least)
 
 
+@pytest.mark.parametrize("names", [8, 100_000])
+def test_long_and_periodic_runs(spark, monkeypatch, names):
+    monkeypatch.setattr(lines, "PART_NAMES", names)
+    r = random.Random(names)
+    long = [f"line {r.randrange(40)}" for _ in range(70)]
+    texts = {1: "\n".join(long), 2: "\n".join(["head", *long[3:66], "tail"]), 3: "\n".join(long), 4: "\n".join(["a b"] * 33), 5: "\n".join(["a b", "c"] * 19), 6: "\n".join(["c", "a b"] * 8), 7: "\n".join(["a b"] * 34)}
+    got = lines.dedup_digest(frame(spark, texts), 3).collect()
+    assert {x.doc_id: (x.n_lines, x.n_removed, x.kept_sha256) for x in got} == brute_lines(texts, 3)
+
+
+def test_common_prefixes_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lines, "PART_NAMES", 10)
+    r = random.Random(9)
+    texts = {i: "\n".join(r.choice(["a", "b", "c d"]) for _ in range(r.randrange(1, 14))) for i in range(12)}
+    places, splits, levels = lines.suffix_array(frame(spark, texts))
+    lcp = {(x.a, x.b, x.r): x.lcp for x in lines.common_prefixes(splits, levels).collect()}
+    rows = sorted(((x.a, x.b, x.r), texts[x.doc_id].split("\n")[x.o :]) for x in places.collect())
+    assert len(rows) == sum(len(x.split("\n")) for x in texts.values())
+    for (rank, x), (other, y) in zip(rows, rows[1:], strict=False):
+        shared = next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+        assert x == y if rank == other else shared == lcp.get(other, 0)
+
+
+def test_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "a\nb", 5, "u", "v", "w"), (2, "x\na\nb", 6, "u", "v", "w")], "doc_id long, text string, __row int, __kept string, ___runs string, __cuts string")
+    left = lines.dedup_text(rows, 2)
+    assert left.columns == rows.columns
+    assert sorted(map(tuple, left.collect())) == [(1, "a\nb", 5, "u", "v", "w"), (2, "x", 6, "u", "v", "w")]
+    assert sorted(map(tuple, minhash.keep_one(rows, 80).collect())) == sorted(map(tuple, rows.collect()))
+    assert sorted(map(tuple, fmindex.dedup_text(rows, 2).collect())) == [(1, "a\nb", 5, "u", "v", "w"), (2, "x", 6, "u", "v", "w")]
+
+
 def test_repeated_lines_of_odd_tables(spark):
     assert lines.dedup_digest(frame(spark, []).limit(0)).count() == 0
     rows = [(1, "a\nb\nx"), (1, "a\nb\nx"), (2, "q\na\nb"), (3, "a\nb"), (None, "a\nb"), (4, None)]
