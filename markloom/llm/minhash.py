@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_column, doc_texts, session_of, stored, word_hashes
+from .common import byte_column, doc_texts, free_prefix, met, session_of, stored, word_hashes
 
 WORDS, BANDS, ROWS = 5, 30, 5
 #: Shingles of one side of a tile.
@@ -119,17 +119,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (the least node reachable) of every node with a link: least labels pass
-    along links, then labels take the label of their label, until nothing changes."""
+    along links, then labels take the label of their label, until nothing changes. A hub's links, and
+    the nodes of a large component, are dealt over many tasks by met()."""
     both = stored(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "labels")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"), F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    total = both.count()
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "least").alias("component"))
-        jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = stored(step.join(jump, "component", "left").select("node", "was", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
-        labels = new.select("node", "component")
+        sent = labels.select(F.col("node").alias("b"), F.col("degree").alias("copies"), "component")
+        near = met(both, sent, ["b"], total).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
+        step = stored(labels.join(near, "node").select("node", "degree", F.col("component").alias("was"), F.least("component", "least").alias("component")), "step")
+        size = step.groupBy("component").agg(F.count("*").alias("copies"))
+        jump = size.join(step.select(F.col("node").alias("component"), F.col("component").alias("further")), "component")
+        # a component is a node, so each has its row
+        new = stored(met(step, jump, ["component"], labels.count()).select("node", "degree", "was", F.least("component", "further").alias("component")), "labels")
+        labels = new.select("node", "degree", "component")
         if new.where("was <> component").isEmpty():
-            return labels
+            return labels.select("node", "component")
 
 
 def tile_links(percent: int) -> Callable[[tuple, pa.Table], pa.Table]:
@@ -222,4 +227,5 @@ def keep_one(docs: DataFrame, percent: int = 80, bands: int = 32, rows: int = 4)
     gone = near_duplicates(docs, percent, bands=bands, rows=rows).where("NOT kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    return left.withColumn("__row", F.row_number().over(order)).where("doc_id IS NULL OR __row = 1").drop("__row")
+    row = free_prefix(docs.columns) + "row"
+    return left.withColumn(row, F.row_number().over(order)).where(F.col("doc_id").isNull() | (F.col(row) == 1)).drop(row)
