@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, doc_texts, session_of, stored, word_hashes
+from .common import byte_column, doc_texts, free_prefix, met, session_of, stored, word_hashes
 
 #: Words of the n-grams whose least hash keys a window.
 GRAM = 8
@@ -329,14 +329,15 @@ def dedup_text(docs: DataFrame, span: int = 50) -> DataFrame:
     """docs with the repeated words cut out of text, white space around what stays as it was. Rows
     of which no word is left go; rows without repeats, also null and empty texts, stay as they are."""
     rows, removed = repeated_spans(docs, span)
+    name = free_prefix(docs.columns) + "cuts"
     copies = rows.where((F.col("doc_id") > F.col("first")) & (F.col("n_words") >= span)).select("doc_id", "text_key", F.lit(None).cast("array<struct<start:int,stop:int>>").alias("spans"))
-    cuts = stored(rows.where("doc_id = first").join(removed, "text_key").select("doc_id", "text_key", "spans").union(copies).groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "spans")).alias("__cuts")), "cuts")
+    cuts = stored(rows.where("doc_id = first").join(removed, "text_key").select("doc_id", "text_key", "spans").union(copies).groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "spans")).alias(name)), "cuts")
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, keep = [], []
-            for i, (text, cuts) in enumerate(zip(batch.column("text").to_pylist(), batch.column("__cuts").to_pylist(), strict=True)):
+            for i, (text, cuts) in enumerate(zip(batch.column("text").to_pylist(), batch.column(name).to_pylist(), strict=True)):
                 if cuts:
                     raw = (text or "").encode()
                     words = raw.split()
