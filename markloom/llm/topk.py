@@ -4,8 +4,8 @@ The components of the vectors are dealt to LISTS lists; a vector's score is the
 scores over the lists. Vectors are kept in blocks, queries too, and every query block meets every
 vector block once.
 
-1. For each query and list the k largest partial scores of a block name objects, whose whole
-   scores are resolved. The k-th largest of these over all blocks is a lower bound t of the answer.
+1. In one of every SPARSE blocks the k largest partial scores of each query and list name objects,
+   whose whole scores are resolved. The k-th largest of these is a lower bound t of the answer.
 2. t goes to all blocks with its query. A vector whose partial scores all lie under the uniform
    threshold t / LISTS scores under t, so only the entries at or above it are collected.
 3. What the collected vectors lack of their other partial scores is resolved, and scores of at
@@ -27,6 +27,8 @@ from .common import session_of, stored
 LISTS = 4
 #: Rows of a block of vectors, and of queries.
 BLOCK, QUERY_BLOCK = 8192, 512
+#: Blocks for each one that the lower bound is taken from. The bound is safe whichever these are.
+SPARSE = 16
 #: Scores under this are exact in doubles.
 EXACT = float(1 << 53)
 
@@ -37,7 +39,8 @@ def integer_vectors(embeddings: DataFrame) -> DataFrame:
     x = F.transform("embedding", lambda x: x.cast("double"))
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
     fine = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.coalesce(fine, F.lit(False))).select("vec_id", F.transform("x", lambda x: F.floor(256 * x)).alias("v"))
+    whole = lambda x: F.when(F.abs(256 * x) < 2.0**63, F.floor(256 * x)).otherwise(F.raise_error(F.lit("a component does not fit a long")))
+    return rows.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.coalesce(fine, F.lit(False))).select("vec_id", F.transform("x", whole).alias("v"))
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
@@ -78,12 +81,18 @@ def matrix(ids: bytes, values: bytes, width: int) -> tuple[np.ndarray, np.ndarra
 
 
 def partial_scores(data: np.ndarray, queries: np.ndarray) -> list[np.ndarray]:
-    """For each list the scores vectors x queries, whole numbers without rounding."""
+    """For each list the scores vectors x queries, whole numbers without rounding. ValueError where a
+    score does not fit a long."""
     width = max(data.shape[1], queries.shape[1])
     data, queries = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (data, queries))
     largest = float(np.abs(data.astype(float)).max(initial=0)) * float(np.abs(queries.astype(float)).max(initial=0)) * width
-    kind = float if largest < EXACT else np.int64
+    kind = float if largest < EXACT else np.int64 if largest < 2.0**62 else object
     parts = np.array_split(np.arange(width), min(LISTS, width))
+    if kind is object:
+        exact = [data[:, p].astype(object) @ queries[:, p].astype(object).T for p in parts]
+        if any(abs(x) >= 1 << 63 for m in (*exact, sum(exact)) for x in m.ravel().tolist()):
+            raise ValueError("a score does not fit a long")
+        return [x.astype(np.int64) for x in exact]
     return [(data[:, p].astype(kind) @ queries[:, p].astype(kind).T).astype(np.int64) for p in parts]
 
 
@@ -128,11 +137,11 @@ def phase(k: int, first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def met(data: DataFrame, queries: DataFrame, count: int) -> DataFrame:
+def pairs(data: DataFrame, queries: DataFrame, count: int, step: int = 1) -> DataFrame:
     """Every query block with every vector block, once: query blocks, the smaller side, are sent to
-    the places 0 to count - 1 of the vector blocks."""
-    sent = queries.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    return data.repartition(count, "place").join(sent, "place").drop("place", "block", "qblock")
+    every `step`-th of the places 0 to count - 1 of the vector blocks."""
+    sent = queries.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(count - 1), F.lit(step))))
+    return data.where(F.col("place") % step == 0).repartition(-(-count // step), "place").join(sent, "place").drop("place", "block", "qblock")
 
 
 def with_bounds(queries: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -168,21 +177,22 @@ def exact_top_k(embeddings: DataFrame, is_query: str, k: int = 5) -> DataFrame:
 
     is_query is a condition on vec_id. Vectors of different lengths are compared as if filled with
     zeros. Equal rows (vec_id and vector) count once; different vectors under one vec_id each
-    count, as queries too. An empty table gives no rows. Other columns are ignored."""
+    count, as queries too. An empty table gives no rows. Other columns are ignored, whatever their
+    names. Components, and scores, that do not fit a long raise an error."""
     session_of(embeddings)
     rows = stored(integer_vectors(embeddings).dropDuplicates(["vec_id", "v"]), "vectors")
     data = stored(blocks(rows, BLOCK), "blocks")
     count = max(1, data.count())
-    # a vector block's place: its number among all; blocks are as few as rows / BLOCK
-    data = data.withColumn("place", (F.row_number().over(Window.orderBy("block")) - 1))
-    data = stored(data, "placed")
+    # a vector block's place: its number among all. Only names are numbered, as few as rows / BLOCK
+    places = data.select("block").withColumn("place", F.row_number().over(Window.orderBy("block")) - 1)
+    data = data.join(places, "block")
     queries = blocks(rows.where(is_query).coalesce(max(1, count // 4)), QUERY_BLOCK).toDF("qblock", "qids", "qvalues", "qwidth")
     queries = stored(queries, "queries")
 
     shape = "query_id long, vec_id long, score long"
-    leaders = met(data, queries, count).mapInArrow(phase(k, True), shape)
+    leaders = pairs(data, queries, count, SPARSE).mapInArrow(phase(k, True), shape)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     bounds = leaders.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("bound")).where("bound IS NOT NULL")
     queries = stored(with_bounds(queries, ids_of(queries).join(bounds, "query_id")), "bounds")
-    found = met(data, queries, count).mapInArrow(phase(k, False), shape)
+    found = pairs(data, queries, count).mapInArrow(phase(k, False), shape)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
