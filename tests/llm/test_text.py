@@ -190,6 +190,54 @@ def test_distance_equals_a_plain_one(spark):
     assert all(abs(got[i] - (p - mean) @ inverse @ (p - mean)) < 1e-6 for i, p in enumerate(points))
 
 
+def plain_mcd(points, centre, scale, language, deviations):
+    """The least determinant over the same starts, with plain concentration steps."""
+    n, least = len(points), np.array([x for _, x in rules.VECTOR])
+    h = int(np.ceil(rules.H * n))
+    z = (points - centre) / scale
+    signs = z / np.maximum(np.sqrt((z**2).sum(axis=1)), 1e-9)[:, None] * 5**0.5
+    starts = [np.diag(scale**2)] + [(x.T @ x / n) * np.outer(scale, scale) + np.diag(least**2) for x in (np.tanh(z), signs)]
+    best = None
+    for cov in starts:
+        mean, before = centre, np.inf
+        while True:
+            y = points - mean
+            d2 = np.einsum("ij,jk,ik->i", y, np.linalg.inv(cov), y)
+            w, cut = np.zeros(n), np.sort(d2)[h - 1]
+            near = d2 < cut * (1 - 1e-5) - 1e-9
+            tied = ~near & (d2 <= cut * (1 + 1e-5) + 1e-9)
+            w[near], w[tied] = 1, (h - near.sum()) / tied.sum()
+            hc = rules.CONSISTENT * h
+            own = w @ points / h
+            cov = hc * ((points - own).T @ (w[:, None] * (points - own)) / h) + hc * rules.PRIOR / (hc + rules.PRIOR) * np.outer(own - language, own - language)
+            cov = (cov + h * np.diag(least**2) + rules.PRIOR * np.diag(deviations**2)) / (h + rules.PRIOR)
+            mean = (hc * own + rules.PRIOR * language) / (hc + rules.PRIOR)
+            det = np.linalg.slogdet(cov)[1]
+            assert det <= before + 1e-4  # a step never makes it larger
+            if det > before - 1e-9:
+                break
+            before = det
+        if best is None or det < best[0]:
+            best = det, mean, cov
+    return best
+
+
+def test_least_determinant_equals_a_plain_one(spark):
+    r = np.random.default_rng(7)
+    names, sizes = [y for y, _ in rules.VECTOR], {"a": 200, "b": 37, "c": 1, "d": 2, "e": 12}
+    table = {g: r.normal(size=(n, 5)) @ (0.3 * r.normal(size=(5, 5))) + (8 * (r.random(n) < 0.3))[:, None] for g, n in sizes.items()}
+    rows = [(i, g, "l", i % rules.SALTS, *map(float, p)) for g, points in table.items() for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "doc_id long, group string, language string, salt int, " + ", ".join(f"{y} double" for y in names))
+    medians = {x.group: (np.array([x[f"m{i}"] for i in range(5)]), np.array([x[f"s{i}"] for i in range(5)])) for x in rules.medians(df).collect()}
+    (language,) = rules.medians(df.drop("group").withColumnRenamed("language", "group")).collect()
+    prior = np.array([language[f"m{i}"] for i in range(5)]), np.array([language[f"s{i}"] for i in range(5)])
+    for x in rules.least_determinant(df).collect():
+        det, mean, cov = plain_mcd(table[x.group], *medians[x.group], *prior)
+        got = np.array([[x[f"c{max(i, j)}{min(i, j)}"] for j in range(5)] for i in range(5)])
+        assert abs(np.linalg.slogdet(got)[1] - det) < 1e-3
+        assert np.allclose([x[f"m{i}"] for i in range(5)], mean, atol=1e-2) and np.allclose(got, cov, atol=2e-2)
+
+
 def test_chat_equals_one_pass(spark, monkeypatch):
     raw = sorted(map(tuple, chat.raw_transcripts(spark.read.parquet(f"{SMALL}/conversations.parquet")).collect()))
     raw += [(10**6, 0, None), (10**6, 1, " \n ")]
@@ -274,6 +322,12 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert topk.exact_top_k(df.limit(0), "vec_id % 7 = 0", 5).count() == 0
 
 
+def test_scores_beyond_a_long_raise(spark):
+    df = spark.createDataFrame([(0, [2.0**30] * 4), (1, [2.0**30] * 4)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.exact_top_k(df, "vec_id = 0", 5).collect()
+
+
 def test_large_scores_are_whole(spark):
     df = spark.createDataFrame([(0, [2.0**22, 1.0]), (1, [2.0**22, 1.0]), (2, [2.0**22, 0.996])], "vec_id long, embedding array<double>")
     got = topk.exact_top_k(df, "vec_id = 0", 5).collect()
