@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import doc_texts, gathered, session_of
+from .common import doc_texts, gathered, lean, session_of
 
 #: Distinct parts of texts, and words, that a worker remembers, and the longest in bytes: some 200
 #: bytes each, under 600 at worst.
@@ -331,4 +331,4 @@ def encode_decode(docs: DataFrame, vocabulary: str, digest: bool = True) -> Data
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends), pa.int64()), first, second], names=["doc_id", "n_tokens", *shape])
 
     shape = ["ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"]
-    return doc_texts(docs).mapInArrow(run, f"doc_id long, n_tokens long, {shape[0]} {'string' if digest else 'array<int>'}, {shape[1]} string")
+    return doc_texts(docs).mapInArrow(lean(run), f"doc_id long, n_tokens long, {shape[0]} {'string' if digest else 'array<int>'}, {shape[1]} string")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, doc_texts, free_prefix, met, session_of, stored, word_hashes
+from .common import byte_column, doc_texts, free_prefix, lean, met, session_of, stored, word_hashes
 
 #: Words of the n-grams whose least hash keys a window.
 GRAM = 8
@@ -195,7 +195,7 @@ def scanned(docs: DataFrame, span: int) -> DataFrame:
             runs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, names=["key", "at", "n"]), type=kind)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), runs], names=["doc_id", "n_words", "text_key", "runs"])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, text_key binary, runs array<struct<key:long,at:int,n:int>>")
+    return docs.mapInArrow(lean(run), "doc_id long, n_words long, text_key binary, runs array<struct<key:long,at:int,n:int>>")
 
 
 def cut_segments(texts: DataFrame, span: int) -> DataFrame:
@@ -226,7 +226,7 @@ def cut_segments(texts: DataFrame, span: int) -> DataFrame:
             kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["deal", "segment_key", "words", "text_key", "doc_id", "at"])
 
-    return texts.select("doc_id", "text", "text_key", "runs").mapInArrow(run, "deal long, segment_key binary, words binary, text_key binary, doc_id long, at int")
+    return texts.select("doc_id", "text", "text_key", "runs").mapInArrow(lean(run), "deal long, segment_key binary, words binary, text_key binary, doc_id long, at int")
 
 
 def search(key: tuple, shard: pa.Table) -> pa.Table:
@@ -279,7 +279,7 @@ def repeated_spans(docs: DataFrame, span: int = 50) -> tuple[DataFrame, DataFram
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("text_key").take(pa.array(keep, pa.int32())), pa.array(lists, kind)], names=["text_key", "spans"])
 
-    hits = hits.select("text_key", "doc_id", "at", "firsts").mapInArrow(spans, "text_key binary, spans array<struct<start:int,stop:int>>")
+    hits = hits.select("text_key", "doc_id", "at", "firsts").mapInArrow(lean(spans), "text_key binary, spans array<struct<start:int,stop:int>>")
     removed = stored(hits.groupBy("text_key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     return rows, removed
 
@@ -315,7 +315,7 @@ def dedup_digest(docs: DataFrame, span: int = 50) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["text_key", "gone", "left"])
 
-    cut = texts.join(own, "doc_id").select("text", "text_key", "spans").mapInArrow(digest, "text_key binary, gone long, left binary").dropDuplicates(["text_key"])
+    cut = texts.join(own, "doc_id").select("text", "text_key", "spans").mapInArrow(lean(digest), "text_key binary, gone long, left binary").dropDuplicates(["text_key"])
     copy = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= span)
     return rows.join(cut, "text_key", "left").select(
         "doc_id",
@@ -359,4 +359,4 @@ def dedup_text(docs: DataFrame, span: int = 50) -> DataFrame:
             arrays = [pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.join(cuts, "doc_id", "left").mapInArrow(cut, docs.schema)
+    return docs.join(cuts, "doc_id", "left").mapInArrow(lean(cut), docs.schema)

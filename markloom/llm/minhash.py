@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_column, doc_texts, free_prefix, met, session_of, stored, word_hashes
+from .common import byte_column, doc_texts, free_prefix, lean, met, session_of, stored, word_hashes
 
 WORDS, BANDS, ROWS = 5, 30, 5
 #: Shingles of one side of a tile.
@@ -85,7 +85,7 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
             listed = iter(band_keys(signed, bands))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([next(listed) if len(s) else None for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -97,7 +97,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], names=["node", "shingles"])
 
     wanted = classes.select(F.col("node").alias("doc_id")).distinct()
-    return docs.join(wanted, "doc_id", "left_semi").mapInArrow(run, "node long, shingles binary").where("length(shingles) > 0")
+    return docs.join(wanted, "doc_id", "left_semi").mapInArrow(lean(run), "node long, shingles binary").where("length(shingles) > 0")
 
 
 def similar(shared: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray | bool:
@@ -114,7 +114,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     a, b = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(lean(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import CALL_BYTES, Remembered, texts_as_ids, word_bpe
-from .common import doc_texts, gathered, session_of, stored
+from .common import doc_texts, gathered, lean, session_of, stored
 
 #: Pieces that one partition packs at a time, and the most rounds; the last packs what is left as one.
 PARTITION_PIECES, ROUNDS = 50_000, 6
@@ -59,7 +59,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, limit: int) -> DataFrame:
             check = [zlib.crc32(whole[a : a + n]) for a, n in zip(begin.tolist(), length.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(at, pa.int64()), pa.array(length, pa.int64()), pa.array(check, pa.int64())], names=[x.split()[0] for x in PIECE_COLUMNS.split(", ")])
 
-    return doc_texts(docs).mapInArrow(run, PIECE_COLUMNS)
+    return doc_texts(docs).mapInArrow(lean(run), PIECE_COLUMNS)
 
 
 def lower_bound(lengths: np.ndarray, limit: int) -> int:
@@ -173,7 +173,7 @@ def pack_as_one(pool: DataFrame, limit: int, turn: int, parts: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *own], names=[*names, "sequence_id", "offset"])
 
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pool.schema if f.name in names)
-    return stored(placed.mapInArrow(run, f"{shape}, sequence_id long, offset long"), "as-one")
+    return stored(placed.mapInArrow(lean(run), f"{shape}, sequence_id long, offset long"), "as-one")
 
 
 def pack(pieces: DataFrame, limit: int) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, session_of, word_hashes
+from .common import byte_column, lean, session_of, word_hashes
 
 #: Word buckets, factors, bins of a statistic.
 BUCKETS, FACTORS, BINS = 1 << 14, 8, 10
@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
             at, x, stats = zip(*inputs(batch), strict=True) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32())), pa.array(stats, pa.list_(pa.float64()))], names=["doc_id", "quality", "at", "x", "stats"])
 
-    found = slim(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text", "n_chars", "quality").mapInArrow(run, "doc_id long, quality int, at array<int>, x array<float>, stats array<double>").toArrow()
+    found = slim(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text", "n_chars", "quality").mapInArrow(lean(run), "doc_id long, quality int, at array<int>, x array<float>, stats array<double>").toArrow()
     found = found.sort_by([("doc_id", "ascending")])
     rows = list(zip(*(arrays(found.column(c).combine_chunks()) for c in ("at", "x", "stats")), strict=True))
     return fit(rows, (found.column("quality").to_numpy() > 0).astype(float))
@@ -164,7 +164,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             out = [fold(i) == 0 for i in ids.to_pylist()]
             yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.bool_()), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
-    return slim(docs).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return slim(docs).mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -176,4 +176,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
             given = batch if "n_chars" in batch.schema.names else batch.append_column("n_chars", pa.nulls(batch.num_rows, pa.int64()))
             yield batch.filter(pa.array([model.score(*model.row(*r)) >= threshold for r in inputs(given)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

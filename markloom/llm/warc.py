@@ -21,7 +21,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, fresh_dir, session_of, stored
+from .common import byte_column, fresh_dir, lean, session_of, stored
 
 #: The date in every record: archives of equal pages are equal.
 DATE = "2000-01-01T00:00:00Z"
@@ -107,7 +107,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             file.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([count], pa.int64())})
 
-    return pages.mapInArrow(run, "path string, records long")
+    return pages.mapInArrow(lean(run), "path string, records long")
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
@@ -132,7 +132,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                         count += 1
                 yield pa.RecordBatch.from_pydict({"path": [path], "index": [f"{path}.idx"], "records": pa.array([count], pa.int64())})
 
-    return archives.select("path").mapInArrow(run, "path string, index string, records long")
+    return archives.select("path").mapInArrow(lean(run), "path string, index string, records long")
 
 
 def lines(file: BinaryIO) -> Iterator[bytes]:
@@ -182,7 +182,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
     files = archives.select("path", "index")
-    return files.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return files.mapInArrow(lean(run), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def decided(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -208,7 +208,7 @@ def with_digest(pages: DataFrame) -> DataFrame:
             at = batch.schema.get_field_index("sha")
             yield batch.set_column(at, "digest", pa.array(out, pa.string()))
 
-    return pages.mapInArrow(run, "page_id long, url string, payload binary, size long, digest string, refers_to long")
+    return pages.mapInArrow(lean(run), "page_id long, url string, payload binary, size long, digest string, refers_to long")
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
