@@ -21,7 +21,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, fresh_dir, lean, session_of, stored
+from .common import byte_column, fresh_dir, lean, removed, session_of, stored
 
 #: The date in every record: archives of equal pages are equal.
 DATE = "2000-01-01T00:00:00Z"
@@ -64,15 +64,24 @@ def headers(raw: bytes) -> dict[str, str]:
 
 
 def inflated(file: BinaryIO) -> Iterator[bytes]:
-    """The plain bytes of a gzip file of one or more members, inflated once and in order."""
-    engine = zlib.decompressobj(31)
+    """The plain bytes of a gzip file of one or more members, inflated once and in order, at most
+    READ bytes at a time. ValueError if the last member is not whole, its checksum included."""
+    engine, begun = zlib.decompressobj(31), False
     while raw := file.read(READ):
-        while raw:
-            yield engine.decompress(raw)
-            raw = engine.unused_data
+        while True:
+            part = engine.decompress(raw, READ)
+            begun = True
+            if part:
+                yield part
             if engine.eof:
-                engine = zlib.decompressobj(31)
-    if engine.flush() or not engine.eof and engine.unconsumed_tail:
+                raw, engine, begun = engine.unused_data, zlib.decompressobj(31), False
+                if not raw:
+                    break
+            else:
+                raw = engine.unconsumed_tail
+                if not raw and len(part) < READ:
+                    break
+    if begun:
         raise ValueError("the gzip stream breaks off")
 
 
@@ -217,7 +226,8 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     spark = session_of(pages)
     folder = fresh_dir(spark, "warc")
     written = stored(write_archives(with_digest(decided(pages, least_bytes)), f"{folder}/first"), "warc-written")
-    # every file a task of its own, as the tasks that wrote them were
+    # about a file a task, as the tasks that wrote them were
     count = max(1, written.count())
-    normal = stored(normalise(written.repartition(count, "path"), f"{folder}/normal"), "warc-normal")
-    return read_archives(normal.repartition(count, "path"))
+    normal = stored(normalise(written.repartitionByRange(count, "path"), f"{folder}/normal"), "warc-normal")
+    removed(spark, f"{folder}/first")
+    return read_archives(normal.repartitionByRange(count, "path"))
