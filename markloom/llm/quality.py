@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, lean, session_of, word_hashes
+from .common import byte_column, free_prefix, give_back, lean, session_of, word_hashes
 
 #: Word buckets, factors, bins of a statistic.
 BUCKETS, FACTORS, BINS = 1 << 14, 8, 10
@@ -140,10 +140,15 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
             at, x, stats = zip(*inputs(batch), strict=True) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32())), pa.array(stats, pa.list_(pa.float64()))], names=["doc_id", "quality", "at", "x", "stats"])
 
-    found = slim(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text", "n_chars", "quality").mapInArrow(lean(run), "doc_id long, quality int, at array<int>, x array<float>, stats array<double>").toArrow()
+    # of rows that share a doc_id one counts, so that the sample is bounded in rows
+    chosen = slim(docs).join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality").agg(F.min_by(F.struct("text", "n_chars"), F.struct(F.xxhash64("text"), F.coalesce("n_chars", F.lit(-1)))).alias("x"))
+    found = chosen.select("doc_id", "x.text", "x.n_chars", "quality").mapInArrow(lean(run), "doc_id long, quality int, at array<int>, x array<float>, stats array<double>").toArrow()
     found = found.sort_by([("doc_id", "ascending")])
     rows = list(zip(*(arrays(found.column(c).combine_chunks()) for c in ("at", "x", "stats")), strict=True))
-    return fit(rows, (found.column("quality").to_numpy() > 0).astype(float))
+    model = fit(rows, (found.column("quality").to_numpy() > 0).astype(float))
+    del found, rows
+    give_back()
+    return model
 
 
 def arrays(column: pa.ListArray) -> list[np.ndarray]:
@@ -154,7 +159,9 @@ def arrays(column: pa.ListArray) -> list[np.ndarray]:
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; a null text scores as an empty one. Texts
-    of any length count whole. lang, source, labels and doc_id are no inputs."""
+    of any length count whole. lang, source, labels and doc_id are no inputs. Repeated rows each give
+    a row, an empty table none. n_chars may be absent, null or of any type that casts to a number;
+    other columns are ignored, whatever their names."""
     session_of(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,12 +175,16 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that score at least the threshold, with all their columns."""
+    """The rows of docs that score at least the threshold, by the rules of score(), with all their
+    columns, whatever their names. Repeated rows are scored each; an empty table stays empty."""
     session_of(docs)
+    new = free_prefix(docs.columns)
+    whole = docs.select("*", *(c.alias(new + n) for n, c in (("text", F.col("text").cast("string")), ("n_chars", F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            given = batch if "n_chars" in batch.schema.names else batch.append_column("n_chars", pa.nulls(batch.num_rows, pa.int64()))
-            yield batch.filter(pa.array([model.score(*model.row(*r)) >= threshold for r in inputs(given)], pa.bool_()))
+            own = batch.select([new + "text", new + "n_chars"]).rename_columns(["text", "n_chars"])
+            yield batch.select(names).filter(pa.array([model.score(*model.row(*r)) >= threshold for r in inputs(own)], pa.bool_()))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    names = docs.columns
+    return whole.mapInArrow(lean(run), docs.schema)
