@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
@@ -44,15 +45,36 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/markloom/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+#: The folders that stored() wrote within each open scratch().
+_scratch: list[list[str]] = []
+
+
+def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage ends at files that
-    outlive any executor."""
+    outlive any executor. Inside scratch() they go at its end, unless they are to be kept."""
     spark = df.sparkSession
     path = fresh_dir(spark, label)
     df.write.parquet(path)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what stored() wrote inside: for tables that only others read which are
+    stored by then and kept."""
+    paths: list[str] = []
+    _scratch.append(paths)
+    try:
+        yield
+    finally:
+        _scratch.remove(paths)
+        for path in paths:
+            removed(spark, path)
+        give_back()
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a work folder that nothing reads any more."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -112,14 +134,19 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     @wraps(run)
     def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-        if trim:
-            trim(0)
+        give_back()
 
     return through
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def gathered(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Joins batches, and cuts them, so that the texts of each piece hold about `most` bytes; a
     longer single text comes alone."""

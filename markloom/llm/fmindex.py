@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_column, doc_texts, free_prefix, lean, met, session_of, stored, word_hashes
+from .common import byte_column, doc_texts, free_prefix, lean, met, scratch, session_of, stored, word_hashes
 
 #: Words of the n-grams whose least hash keys a window.
 GRAM = 8
@@ -246,12 +246,19 @@ def repeated_spans(docs: DataFrame, span: int = 50) -> tuple[DataFrame, DataFram
     """(rows, spans). rows: doc_id, n_words, text_key, first (the smallest doc_id with that text).
     spans: text_key and, for the text's first document, spans of words [start, stop) to remove."""
     spark = session_of(docs)
-    docs = doc_texts(docs).where("doc_id IS NOT NULL")
+    with scratch(spark):
+        return found_spans(doc_texts(docs).where("doc_id IS NOT NULL"), span)
+
+
+def found_spans(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
+    """repeated_spans(), both stored."""
     found = stored(scanned(docs, span), "scanned")
-    texts = stored(found.groupBy("text_key").agg(F.min("doc_id").alias("first")), "texts")
-    rows = found.select("doc_id", "n_words", "text_key").join(texts, "text_key")
+    # the copies of a very common text, or empty ones, do not meet in one task
+    texts = stored(found.groupBy("text_key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")), "texts")
+    rows = stored(met(found.select("doc_id", "n_words", "text_key"), texts, ["text_key"]), "rows", keep=True)
     # one row for each distinct text: copies of a whole text never meet in a shard
-    own = found.where("size(runs) > 0").join(texts, "text_key").where("doc_id = first").dropDuplicates(["text_key"])
+    firsts = texts.select("text_key", F.col("first").alias("doc_id"))
+    own = found.where("size(runs) > 0").join(firsts, ["text_key", "doc_id"]).dropDuplicates(["text_key"])
     run = stored(own.select("text_key", "doc_id", F.inline("runs")), "runs")
     keys = run.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("high"), F.sum(F.col("n") + span - 1).alias("held")).where("owner < high")
     keys = stored(keys, "keys")
@@ -280,7 +287,7 @@ def repeated_spans(docs: DataFrame, span: int = 50) -> tuple[DataFrame, DataFram
             yield pa.RecordBatch.from_arrays([batch.column("text_key").take(pa.array(keep, pa.int32())), pa.array(lists, kind)], names=["text_key", "spans"])
 
     hits = hits.select("text_key", "doc_id", "at", "firsts").mapInArrow(lean(spans), "text_key binary, spans array<struct<start:int,stop:int>>")
-    removed = stored(hits.groupBy("text_key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    removed = stored(hits.groupBy("text_key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans", keep=True)
     return rows, removed
 
 

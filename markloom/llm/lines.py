@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .common import free_prefix, met, stored
+from .common import free_prefix, met, scratch, stored
 
 WORD = r"[^\x20\x09-\x0D]"
 KEY = ["doc_id", "t"]
@@ -138,7 +138,9 @@ def suffix_array(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]
 def common_prefixes(splits: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """RANK, lcp: how many lines the suffix of that rank has in common with the one before it."""
     rows = splits.withColumn("lcp", F.col("w"))
-    for level in range(len(levels) - 2, -1, -1):
+    for step, level in enumerate(range(len(levels) - 2, -1, -1)):
+        if step % 3 == 2:
+            rows = stored(rows, "descent")  # a plan of few joins
         for side in "pq":
             names = levels[level].select(F.col("doc_id").alias("d"), F.col("t").alias("e"), F.col("o").alias("f"), F.struct(*RANK).alias(f"{side}_rank"))
             rows = rows.join(names, (F.col(f"{side}.doc_id") == F.col("d")) & (F.col(f"{side}.t") == F.col("e")) & (F.col(f"{side}.o") + F.col("lcp") == F.col("f")), "left").drop("d", "e", "f")
@@ -181,7 +183,8 @@ def cut(docs: DataFrame, least: int) -> tuple[DataFrame, str]:
     """docs with three columns (how many lines go: removed; lines with a word: lines; the text left:
     kept) under a prefix that no column of docs has, and that prefix."""
     new = free_prefix(docs.columns)
-    late = maximal_runs(docs, least).groupBy(*KEY).agg(F.collect_list(F.struct("start", "lines")).alias("runs"))
+    with scratch(docs.sparkSession):
+        late = stored(maximal_runs(docs, least).groupBy(*KEY).agg(F.collect_list(F.struct("start", "lines")).alias("runs")), "runs", keep=True)
     late = late.select(F.col("doc_id").alias(f"{new}doc"), F.col("t").alias(f"{new}t"), F.col("runs").alias(f"{new}runs"))
     runs = F.col(f"{new}runs")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_column, doc_texts, free_prefix, lean, met, session_of, stored, word_hashes
+from .common import byte_column, doc_texts, free_prefix, lean, met, scratch, session_of, stored, word_hashes
 
 WORDS, BANDS, ROWS = 5, 30, 5
 #: Shingles of one side of a tile.
@@ -190,8 +190,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, band
     Other columns are ignored. A pair just similar enough shares no band, and so may be missed, with
     probability (1 - (percent / 100)^rows)^bands: 2e-8 at 85 percent with the defaults.
     """
-    session_of(docs)
-    docs = doc_texts(docs).where("doc_id IS NOT NULL")
+    spark = session_of(docs)
+    with scratch(spark):
+        return linked(doc_texts(docs).where("doc_id IS NOT NULL"), percent, words, bands, rows)
+
+
+def linked(docs: DataFrame, percent: int, words: int, bands: int, rows: int) -> DataFrame:
+    """The rows of near_duplicates(), stored."""
     found = stored(sketches(docs, words, bands, rows), "sketches")
     classes = found.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
     classes = stored(classes, "classes")
@@ -218,7 +223,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, band
 
     own = classes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     out = found.select("doc_id", "n_shingles", "set_key").join(own, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return stored(out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")), "components", keep=True)
 
 
 def keep_one(docs: DataFrame, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch, stored
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -237,7 +237,7 @@ def least_determinant(rows: DataFrame) -> DataFrame:
             break
         last = rooted = new
     best = new.groupBy("group").agg(F.min(F.struct("det", "start")).alias("x")).select("group", "x.start")
-    return stored(estimate.join(best, ["group", "start"]).drop("start"), "best")
+    return stored(estimate.join(best, ["group", "start"]).drop("start"), "best", keep=True)
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
@@ -248,7 +248,9 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     empty one; repeated rows each count and each give a row; other columns are ignored."""
     rows = stored(grouped(vectors(base_counts(docs))), "vectors")
     fine = rows.where("NOT base_failed").select("doc_id", "group", "language", "salt", *(y for y, _ in VECTOR))
-    judged = distances(rows, least_determinant(fine))
+    with scratch(docs.sparkSession):
+        best = least_determinant(fine)
+    judged = distances(rows, best)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.when(~F.col("base_failed"), F.col("d2")).alias("d2"),

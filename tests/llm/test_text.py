@@ -297,8 +297,20 @@ def test_records_of_many_members():
     parts = [warc.record(i, "u", b"x" * i, i, "D", None) for i in range(20)]
     raw = b"".join(zlib.compress(p, 1, 31) for p in parts)
     assert list(warc.records(warc.inflated(io.BytesIO(raw)))) == parts
-    with pytest.raises(ValueError):
-        list(warc.records(warc.inflated(io.BytesIO(raw[:-40]))))
+    for missing in (1, 8, 40):
+        with pytest.raises(ValueError):
+            list(warc.records(warc.inflated(io.BytesIO(raw[:-missing]))))
+    large = zlib.compress(b"x" * (5 * warc.READ + 3), 9, 31)
+    sizes = [len(x) for x in warc.inflated(io.BytesIO(large + large))]
+    assert max(sizes) <= warc.READ and sum(sizes) == 2 * (5 * warc.READ + 3)
+
+
+def test_good_rows_keep_their_columns(spark):
+    docs = spark.createDataFrame([(1, "some words here", "15", "a", 1), (1, "some words here", "15", "a", 1), (2, None, None, None, 2)], "doc_id long, text string, n_chars string, __text string, score int")
+    model = quality.train(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    kept = quality.keep_good(docs, model, 0.0)
+    assert kept.schema == docs.schema and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+    assert quality.keep_good(docs, model, 1.1).count() == 0
 
 
 def test_top_k_equals_brute_force(spark, monkeypatch):
