@@ -158,8 +158,9 @@ class Blocks:
         self.stretch(tip)
 
     def stretch(self, block: Block | None) -> None:
-        while block:
-            block.end = max(block.end, self.next_line)
+        # what is around a block that reaches so far does too
+        while block and block.end < self.next_line:
+            block.end = self.next_line
             block = block.parent
 
     # -- the tree
@@ -216,13 +217,18 @@ class Blocks:
 
     def take_references(self, block: Block) -> None:
         """Link reference definitions at the head of a paragraph leave it."""
-        while block.lines and block.lines[0][1].startswith("["):
-            text = "\n".join(x for _, x in block.lines)
-            if not (found := reference(text)):
-                return
-            used, label, dest, title = found
+        lines = block.lines
+        if not lines or not lines[0][1].startswith("["):
+            return
+        text = "\n".join(x for _, x in lines)
+        at = taken = 0
+        while taken < len(lines) and lines[taken][1].startswith("[") and (found := reference(text, at)):
+            end, label, dest, title = found
             self.references.setdefault(label, (dest, title))
-            block.lines = block.lines[text.count("\n", 0, used) :] if used < len(text) else []
+            taken = taken + text.count("\n", at, end) if end < len(text) else len(lines)
+            at = end
+        if taken:
+            block.lines = lines[taken:]
             if block.lines:
                 block.start = block.lines[0][0]
 

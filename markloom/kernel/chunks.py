@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
+
 from .collect import counts
 from .events import Event, inner_text, matching_end
 from .filters import apply, content
@@ -132,23 +135,21 @@ def block_windows(events: list[Event], w: Windows) -> list[str]:
 
 
 def word_windows(events: list[Event], w: Windows) -> list[str]:
-    whole, out, at = to_markdown(events), [], 0
-    while at < len(whole):
-        parts = segments(whole[at:])
-        n = fitting(parts, w.chars, w.words) or len(parts[0])
-        out.append(whole[at : at + n])
-        end = at + n
-        new = end
-        if w.overlap:
-            target, new, edge = end - w.overlap, 0, 0
-            if target > 0:
-                new = end
-                for part in segments(whole[:end]):
-                    if edge >= target:
-                        new = edge
-                        break
-                    edge += len(part)
-        at = new if new > at else end
+    whole, out, i = to_markdown(events), [], 0
+    parts = segments(whole)
+    edges = [0, *accumulate(map(len, parts))]
+    named = [0, *accumulate(map(is_word, parts))]  # words before each edge
+    while i < len(parts):
+        # the last edge within both budgets, one segment on at least
+        end = len(parts)
+        if w.chars is not None:
+            end = min(end, bisect_right(edges, edges[i] + w.chars) - 1)
+        if w.words is not None:
+            end = min(end, bisect_right(named, named[i] + w.words) - 1)
+        end = max(end, i + 1)
+        out.append(whole[edges[i] : edges[end]])
+        new = bisect_left(edges, max(0, edges[end] - w.overlap)) if w.overlap else end
+        i = new if new > i else end
     return out
 
 

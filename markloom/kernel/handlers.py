@@ -41,7 +41,14 @@ class Element:
     @property
     def text(self) -> str:
         """A leaf's own text; a container's is that of its children joined. Breaks add nothing."""
-        return "".join(c.text for c in self.children) if self.event.op == "start" else self.event.text if self.kind not in ("soft_break", "hard_break") else ""
+        out, todo = [], [self]
+        while todo:
+            x = todo.pop()
+            if x.event.op == "start":
+                todo += reversed(x.children)
+            elif x.kind not in ("soft_break", "hard_break"):
+                out.append(x.event.text)
+        return "".join(out)
 
     @property
     def lang(self) -> str | None:
@@ -104,8 +111,13 @@ def tree(events: list[Event], source: str) -> list[Element]:
 
 def visit(elements: list[Element], handlers: Handlers) -> Iterator[tuple[Element, object]]:
     """Children before their parent; yields what handlers return."""
-    for element in elements:
-        yield from visit(element.children, handlers)
+    todo = [(x, False) for x in reversed(elements)]
+    while todo:
+        element, ready = todo.pop()
+        if not ready:
+            todo.append((element, True))
+            todo += [(x, False) for x in reversed(element.children)]
+            continue
         for handler in handlers.by_kind.get(element.kind, ()):
             yield element, handler(element)
 
@@ -114,10 +126,14 @@ def flat(elements: list[Element], o: Options) -> list[Event]:
     """Back to events: deletion first, then html, then markdown, then changed fields. An ordered list
     that is rebuilt starts at 1."""
     out: list[Event] = []
-    for x in elements:
-        if x.deleted:
+    todo: list[Element | Event] = list(reversed(elements))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Event):
+            out.append(x)
+        elif x.deleted:
             continue
-        if x.html is not None:
+        elif x.html is not None:
             out.append(Event("leaf", "inline_html", x.html))
         elif x.markdown is not None:
             out += before(parse(x.markdown, o.syntax()), o)
@@ -125,7 +141,8 @@ def flat(elements: list[Element], o: Options) -> list[Event]:
             out.append(x.event)
         else:
             start = x.event.but(dest=x.dest, title=x.title, id=x.id, level=x._level, list_start=1 if x.event.kind == "ordered_list" else x.event.list_start)
-            out += [start, *flat(x.children, o), start.but(op="end")]
+            out.append(start)
+            todo += [start.but(op="end"), *reversed(x.children)]
     return out
 
 

@@ -77,9 +77,9 @@ def title(text: str, at: int) -> tuple[int, str] | None:
     return None if re.search(r"\n[ \t]*\n", value) else (m.end(), unescape(value))
 
 
-def reference(text: str) -> tuple[int, str, str, str] | None:
-    """A link reference definition at the start: characters used, label, destination, title."""
-    m = LABEL.match(text)
+def reference(text: str, at: int = 0) -> tuple[int, str, str, str] | None:
+    """A link reference definition at a place: where it ends, its label, destination, title."""
+    m = LABEL.match(text, at)
     if not m or not m[1].strip() or text[m.end() : m.end() + 1] != ":" or m[1].startswith("^"):
         return None
     at = GAP.match(text, m.end() + 1).end()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 
 from .events import Event, matching_end
 
@@ -287,7 +288,19 @@ class Writer:
 
 
 def to_markdown(events: list[Event]) -> str:
-    return Writer().blocks(events)
+    depth = deepest = 0
+    for e in events:
+        depth += (e.op == "start") - (e.op == "end")
+        deepest = max(deepest, depth)
+    # a level takes a few calls, all of them Python's own, which need no place on the machine's stack
+    limit = sys.getrecursionlimit()
+    if 4 * deepest < limit // 2:
+        return Writer().blocks(events)
+    sys.setrecursionlimit(limit + 4 * deepest)
+    try:
+        return Writer().blocks(events)
+    finally:
+        sys.setrecursionlimit(limit)
 
 
 def block_markdown(events: list[Event]) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field, fields, replace
 
 from .syntax import Syntax
@@ -165,56 +166,64 @@ def resolve(options: Options | dict | str | None) -> Options:
     raise TypeError(f"options must be Options, a dict, a preset name or None, got {type(options).__name__}")
 
 
-def budgets(chars: int | None, words: int | None, at: str, what: str) -> None:
-    if chars is None and words is None:
-        raise ValueError(f"{what} requires at least one of :chars or :words")
-    for name, n in (("chars", chars), ("words", words)):
-        if n is not None and (isinstance(n, bool) or not isinstance(n, int)):
-            raise ValueError(f":{name} must be an Integer, got {type(n).__name__}")
-    if at not in ("block", "word"):
-        raise ValueError(f":at must be :block or :word, got {at!r}")
+def is_whole(x: object) -> bool:
+    return isinstance(x, int) and not isinstance(x, bool)
 
 
 @dataclass(frozen=True)
-class Truncate:
+class Budget:
+    """How many characters or words a piece may hold, and where it may be cut."""
+
     chars: int | None = None
     words: int | None = None
     at: str = "block"
-    marker: str | None = "…"
 
     def __post_init__(self) -> None:
-        budgets(self.chars, self.words, self.at, "truncate")
-        if self.marker is not None and not isinstance(self.marker, str):
-            raise ValueError(f":marker must be a String or nil, got {type(self.marker).__name__}")
-        if self.marker and self.chars is not None and len(self.marker) >= self.chars:
-            raise ValueError(f":marker ({len(self.marker)} chars) must be shorter than :chars budget ({self.chars})")
+        """Raises ValueError with everything that is wrong."""
+        if wrong := list(self.problems()):
+            raise ValueError(f"{type(self).__name__}: {'; '.join(wrong)}")
+
+    def problems(self) -> Iterator[str]:
+        given = {name: n for name in ("chars", "words") if (n := getattr(self, name)) is not None}
+        if not given:
+            yield "give a budget: chars, words or both"
+        yield from (f"{name}={n!r} is not an int" for name, n in given.items() if not is_whole(n))
+        if self.at not in ("block", "word"):
+            yield f"at={self.at!r} is neither 'block' nor 'word'"
+
+
+@dataclass(frozen=True)
+class Truncate(Budget):
+    marker: str | None = "…"
+
+    def problems(self) -> Iterator[str]:
+        yield from super().problems()
+        if self.marker is None:
+            return
+        if not isinstance(self.marker, str):
+            yield f"marker={self.marker!r} is neither a str nor None"
+        elif self.marker and is_whole(self.chars) and len(self.marker) >= self.chars:
+            yield f"a marker of {len(self.marker)} characters leaves no room in {self.chars}"
 
     @classmethod
     def of(cls, params: Truncate | dict | None) -> Truncate | None:
         if params is None or isinstance(params, Truncate):
             return params
         if not isinstance(params, dict):
-            raise TypeError(f"truncate must be a dict, got {type(params).__name__}")
-        if unknown := [k for k in params if k not in ("chars", "words", "at", "marker")]:
-            raise ValueError(f"unknown truncate key(s): {unknown}; expected chars, words, at, marker")
+            raise TypeError(f"a truncation is a Truncate or a dict, not a {type(params).__name__}")
+        if unknown := sorted(set(params) - {f.name for f in fields(cls)}):
+            raise ValueError(f"Truncate has no {', '.join(unknown)}")
         return cls(**params)
 
 
 @dataclass(frozen=True)
-class Windows:
-    chars: int | None = None
-    words: int | None = None
+class Windows(Budget):
     overlap: int = 0
-    at: str = "block"
 
-    def __post_init__(self) -> None:
-        budgets(self.chars, self.words, self.at, "chunks_by_size")
-        for name, n in (("chars", self.chars), ("words", self.words)):
-            if n is not None and n <= 0:
-                raise ValueError(f":{name} must be positive, got {n}")
-        if isinstance(self.overlap, bool) or not isinstance(self.overlap, int):
-            raise ValueError(f":overlap must be an Integer, got {type(self.overlap).__name__}")
-        if self.overlap < 0:
-            raise ValueError(f":overlap must be non-negative, got {self.overlap}")
-        if self.chars is not None and self.overlap >= self.chars:
-            raise ValueError(f":overlap ({self.overlap}) must be less than :chars budget ({self.chars})")
+    def problems(self) -> Iterator[str]:
+        yield from super().problems()
+        yield from (f"{name}={n} leaves no room" for name in ("chars", "words") if is_whole(n := getattr(self, name)) and n <= 0)
+        if not is_whole(self.overlap):
+            yield f"overlap={self.overlap!r} is not an int"
+        elif self.overlap < 0 or is_whole(self.chars) and self.overlap >= self.chars:
+            yield f"overlap={self.overlap} is not from 0 up to below chars"

@@ -17,8 +17,18 @@ class Walk:
     def __init__(self, blocks: Blocks, syntax: Syntax):
         self.blocks, self.syntax = blocks, syntax
         self.out: list[Event] = []
-        for child in blocks.root.children:
-            self.block(child, False)
+        # what is still to do, the next last: an event, a block with whether it stands tight, a list's
+        # item, or a leaf's lines
+        todo: list = [(child, False) for child in reversed(blocks.root.children)]
+        while todo:
+            step = todo.pop()
+            if isinstance(step, Event):
+                self.out.append(step)
+            elif isinstance(step, list):
+                self.inline(step)
+            else:
+                block, tight = step
+                todo += reversed(self.item(block, tight) if block.kind == "list_item" else self.block(block, tight))
 
     def inline(self, lines: list[tuple[int, str]]) -> None:
         """The inline events of a leaf's lines; blanks at line ends belong to breaks."""
@@ -42,7 +52,8 @@ class Walk:
             if k < last:
                 put(Event("leaf", "hard_break" if x.endswith("  ") else "soft_break", start=at + len(x), end=at + len(x) + 1))
 
-    def block(self, b: Block, tight: bool) -> None:
+    def block(self, b: Block, tight: bool) -> list:
+        """Writes what comes first of a block; gives the steps for the rest."""
         put, kind, span = self.out.append, b.kind, {"start": b.start, "end": b.end}
         if kind == "paragraph":
             if not tight:
@@ -75,34 +86,32 @@ class Walk:
             self.table(b, span)
         elif kind in ("list", "ordered_list"):
             put(Event("start", kind, list_start=b.data["start"], **span))
-            for item in b.children:
-                self.item(item, not b.loose)
-            put(Event("end", kind, **span))
+            return [*((item, not b.loose) for item in b.children), Event("end", kind, **span)]
         elif kind == "definition_list":
             put(Event("start", kind, **span))
+            steps: list = []
             for child in b.children:
                 own = {"start": child.start, "end": child.end}
-                put(Event("start", child.kind, **own))
+                steps.append(Event("start", child.kind, **own))
                 if child.kind == "definition_list_title":
-                    self.inline(child.lines)
+                    steps.append(child.lines)
                 else:
                     loose = any(Blocks.ends_blank(x) for x in child.children[:-1])
-                    for x in child.children:
-                        self.block(x, not loose)
-                put(Event("end", child.kind, **own))
-            put(Event("end", kind, **span))
+                    steps += [(x, not loose) for x in child.children]
+                steps.append(Event("end", child.kind, **own))
+            return [*steps, Event("end", kind, **span)]
         else:
             label = b.data.get("label")
             put(Event("start", kind, alert=b.alert, label=label, **span))
-            for child in b.children:
-                self.block(child, False)
-            put(Event("end", kind, alert=b.alert, label=label, **span))
+            return [*((child, False) for child in b.children), Event("end", kind, alert=b.alert, label=label, **span)]
+        return []
 
-    def item(self, b: Block, tight: bool) -> None:
+    def item(self, b: Block, tight: bool) -> list:
+        """As block(), for a list's item."""
         span = {"start": b.start, "end": b.end}
         self.out.append(Event("start", "list_item", **span))
         first = b.children[0] if b.children else None
-        task = None
+        task, steps = None, []
         if self.syntax.tasklists and first is not None and first.kind == "paragraph" and first.lines and (m := TASK.match(first.lines[0][1])):
             at, text = first.lines[0]
             if text[m.end() :].strip() or len(first.lines) > 1:
@@ -110,16 +119,11 @@ class Walk:
                 first.lines[0] = (at + m.end(), text[m.end() :])
         for i, child in enumerate(b.children):
             if i == 0 and task:
-                if tight:
-                    self.out.append(task)
-                    self.block(child, True)
-                else:
-                    before = len(self.out)
-                    self.block(child, False)
-                    self.out.insert(before + 1, task)
+                own = {"start": child.start, "end": child.end}
+                steps += [task, child.lines] if tight else [Event("start", "paragraph", **own), task, child.lines, Event("end", "paragraph", **own)]
             else:
-                self.block(child, tight)
-        self.out.append(Event("end", "list_item", **span))
+                steps.append((child, tight))
+        return [*steps, Event("end", "list_item", **span)]
 
     def table(self, b: Block, span: dict) -> None:
         put, width = self.out.append, len(b.align)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
+import zipfile
+from collections import Counter
 from functools import lru_cache
+from pathlib import Path
 
 import regex
 
@@ -40,19 +44,59 @@ LETTERS = {
     "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i",
     "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "σ": "s",
     "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+    "і": "i", "ї": "yi", "є": "ie", "ґ": "g", "ў": "u", "ђ": "dj", "ј": "j", "љ": "lj", "њ": "nj", "ћ": "tsh", "џ": "dzh",
+    "ا": "a", "ب": "b", "ت": "t", "ث": "th", "ج": "j", "ح": "h", "خ": "kh", "د": "d", "ذ": "dh", "ر": "r", "ز": "z",
+    "س": "s", "ش": "sh", "ص": "s", "ض": "d", "ط": "t", "ظ": "z", "ع": "", "غ": "gh", "ف": "f", "ق": "q", "ك": "k",
+    "ل": "l", "م": "m", "ن": "n", "ه": "h", "و": "w", "ي": "y", "ى": "a", "ة": "h", "ء": "", "پ": "p", "چ": "ch", "ژ": "zh", "گ": "g", "ک": "k", "ی": "y",
+    "א": "", "ב": "b", "ג": "g", "ד": "d", "ה": "h", "ו": "v", "ז": "z", "ח": "kh", "ט": "t", "י": "y", "כ": "k", "ך": "k",
+    "ל": "l", "מ": "m", "ם": "m", "נ": "n", "ן": "n", "ס": "s", "ע": "", "פ": "p", "ף": "p", "צ": "ts", "ץ": "ts", "ק": "q", "ר": "r", "ש": "sh", "ת": "t",
+    "⁄": "/",
 }
+#: Kana whose spelling is not that of their name.
+KANA = {"si": "shi", "ti": "chi", "tu": "tsu", "hu": "fu", "zi": "ji", "di": "ji", "du": "zu"}
+INDIC = "DEVANAGARI|BENGALI|GURMUKHI|GUJARATI|ORIYA|TAMIL|TELUGU|KANNADA|MALAYALAM|SINHALA"
+SPELLED = re.compile(rf"(?:(HANGUL SYLLABLE)|(HIRAGANA|KATAKANA) LETTER(?: SMALL)?|(?:{INDIC}) (?:(LETTER)|VOWEL SIGN)) ([A-Z]+)$")
+READING = re.compile(r"\[([^\[\]→;]+)\]→([^\W\d_]+);")
+
+
+@lru_cache(maxsize=1)
+def han() -> dict[str, str]:
+    """Chinese characters with their usual reading, from the transliteration rules of the Unicode
+    library that Spark brings along: `[characters]→reading;`. Empty where that library is missing."""
+    home = Path(os.environ.get("SPARK_HOME") or Path(__import__("pyspark").__file__).parent)
+    for jar in sorted(home.glob("jars/icu4j-*.jar")):
+        with zipfile.ZipFile(jar) as files:
+            names = [n for n in files.namelist() if n.endswith("/translit/root.res")]
+            rules = files.read(names[0]).decode("utf-16-be", "ignore") if names else ""
+        found: dict[str, str] = {}
+        for group, reading in READING.findall(rules):
+            plain = "".join(x for x in unicodedata.normalize("NFKD", reading) if x.isascii() and x.isalpha()).lower()
+            if plain:
+                found |= dict.fromkeys(group, plain)
+        return found
+    return {}
 
 
 @lru_cache(maxsize=8192)
 def ascii_of(c: str) -> str:
-    """A character in ASCII: letters above, else its base letter, else the letter its name tells."""
+    """A character in ASCII: as the table above says, else by its base letters, else as its reading
+    or its name tells. Chinese characters are words of their own."""
     low = c.lower()
     if low in LETTERS:
         return LETTERS[low]
-    plain = "".join(x for x in unicodedata.normalize("NFKD", low) if x.isascii())
+    parts = unicodedata.normalize("NFKD", low)
+    plain = "".join(x if x.isascii() else LETTERS.get(x, "") for x in parts)
     if plain:
         return plain
+    if unicodedata.category(c) == "Lo" and (reading := han().get(c)):
+        return reading + " "
     name = unicodedata.name(c, "")
+    if m := SPELLED.match(name):
+        spelled = m[4].lower()
+        if m[2]:
+            return KANA.get(spelled, spelled)
+        # an Indic consonant's name ends in the vowel that only its reading has
+        return spelled[:-1] if m[3] and len(spelled) > 1 and spelled[-1] == "a" and spelled[0] not in "aeiou" else spelled
     if name.startswith("VARIATION") or unicodedata.category(c)[0] == "M":
         return ""
     if unicodedata.category(c) == "So":
@@ -97,7 +141,20 @@ SHORTCODES = {
     "calendar": "\U0001f4c6", "chart_with_upwards_trend": "\U0001f4c8", "email": "✉️", "phone": "☎️", "computer": "\U0001f4bb",
     "art": "\U0001f3a8", "construction": "\U0001f6a7", "lipstick": "\U0001f484", "rotating_light": "\U0001f6a8", "see_no_evil": "\U0001f648",
     "question": "❓", "exclamation": "❗", "information_source": "ℹ️", "arrow_right": "➡️", "arrow_left": "⬅️",
+    "smirk": "\U0001f60f", "stuck_out_tongue": "\U0001f61b", "kissing_heart": "\U0001f618", "hankey": "\U0001f4a9", "poop": "\U0001f4a9", "shit": "\U0001f4a9",
+    "cop": "\U0001f46e", "e-mail": "\U0001f4e7", "o": "⭕", "white_flag": "\U0001f3f3️", "santa": "\U0001f385", "rofl": "\U0001f923", "scream": "\U0001f631",
+    "stuck_out_tongue_winking_eye": "\U0001f61c", "relaxed": "☺️", "disappointed": "\U0001f61e", "confused": "\U0001f615", "angry": "\U0001f620", "rage": "\U0001f621",
+    "sleeping": "\U0001f634", "innocent": "\U0001f607", "neutral_face": "\U0001f610", "unamused": "\U0001f612", "sweat_smile": "\U0001f605", "kiss": "\U0001f48b",
+    "point_left": "\U0001f448", "point_up": "☝️", "point_down": "\U0001f447", "raised_hands": "\U0001f64c", "v": "✌️", "fist": "✊", "hand": "✋",
+    "car": "\U0001f697", "airplane": "✈️", "house": "\U0001f3e0", "apple": "\U0001f34e", "cake": "\U0001f370", "gift": "\U0001f381", "trophy": "\U0001f3c6",
+    "pencil": "\U0001f4dd", "pencil2": "✏️", "scissors": "✂️", "link": "\U0001f517", "clipboard": "\U0001f4cb", "pushpin": "\U0001f4cc", "paperclip": "\U0001f4ce",
+    "iphone": "\U0001f4f1", "camera": "\U0001f4f7", "tv": "\U0001f4fa", "watch": "⌚", "hourglass": "⌛", "alarm_clock": "⏰", "no_entry": "⛔",
+    "checkered_flag": "\U0001f3c1", "triangular_flag_on_post": "\U0001f6a9", "black_heart": "\U0001f5a4", "yellow_heart": "\U0001f49b", "100_percent": "\U0001f4af",
+    "heavy_plus_sign": "➕", "heavy_minus_sign": "➖", "heavy_multiplication_x": "✖️", "copyright": "©️", "registered": "®️", "tm": "™️",
+    "arrow_up": "⬆️", "arrow_down": "⬇️", "arrow_forward": "▶️", "arrow_backward": "◀️", "ok": "\U0001f197", "new": "\U0001f195", "free": "\U0001f193", "cool": "\U0001f192", "sos": "\U0001f198",
 }
+#: Shortcodes of flags, by the two letters that the flag is made of.
+FLAGS = {"us": "US", "de": "DE", "cn": "CN", "es": "ES", "fr": "FR", "gb": "GB", "uk": "GB", "it": "IT", "jp": "JP", "kr": "KR", "ru": "RU"}
 CODE = re.compile(r":([a-z0-9_+-]+):")
 
 
@@ -106,6 +163,8 @@ def emoji(name: str) -> str | None:
     """The emoji of a shortcode: from the table, else the pictograph with that Unicode name."""
     if name in SHORTCODES:
         return SHORTCODES[name]
+    if name in FLAGS:
+        return "".join(chr(0x1F1E6 + ord(c) - ord("A")) for c in FLAGS[name])
     try:
         c = unicodedata.lookup(name.replace("_", " "))
     except KeyError:
@@ -214,15 +273,53 @@ FREQUENT = {
     "deu": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei hatte kann gegen vom schon wenn habe seine mark ihre dann unter wir soll ich eines jahr zwei jahren diese dieser wieder keine seiner worden will zwischen immer was sagte gibt alle seit muss doch jetzt waren drei neue damit bereits da ihr seinen einmal ohne",
     "fra": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont la mais ou avec son ont aux d'un cette d'une ses nous comme sa elle deux leur bien tout fait sans aussi peut encore lui ces ans avait on je vous entre sous dont faire si etre avoir meme quand tous ils autre alors depuis apres tres donc contre avant jour peu temps moins annees fois notre monde nos",
     "spa": "de la que el en y a los del se las por un para con no una su al lo como mas pero sus le ya o este si porque esta entre cuando muy sin sobre tambien me hasta hay donde quien desde todo nos durante todos uno les ni contra otros ese eso ante ellos e esto antes algunos que unos yo otro otras otra el tanto esa estos mucho quienes nada muchos cual poco ella estar estas algunas algo nosotros",
+    "ita": "di che è e la il un per in non una sono ho lo ma con si le cosa come ci da questo qui del della nel alla gli anche più dei delle degli questa sul quando molto essere stato tra suo sua loro",
+    "por": "de o que e do da em um para é com não uma os no na por mais as dos como mas foi ao ele das tem à seu sua ou ser quando muito há nos já está eu também só pelo pela até isso ela entre era depois sem mesmo aos ter seus quem nas esse eles estão você",
+    "nld": "de het een en van ik te dat die in je niet zijn is was op aan met als voor er maar om hem dan zou wat mijn men dit zo door over ze zich bij ook tot uit naar heeft kan nog geen worden deze werd veel hun haar wel",
+    "swe": "och det att i en jag hon som han på den med var sig för så till är men ett om hade de av mig du henne då sin nu har inte hans honom skulle hennes där min man vid kunde något från ut när efter upp vi dem vara vad över",
+    "dan": "og i jeg det at en den til er som på de med han af for ikke der var mig sig men et har om vi min havde ham hun nu over da fra du ud sin dem os op man hans hvor eller hvad skal selv her alle vil blev kunne ind når",
+    "pol": "i w na z do się nie że to jest o jak za po co dla od ale czy tym już tak przez był są która które który może tylko jego jej ich być było bez także przed lub oraz",
+    "ces": "a se v na je že o s z do i to jsem jako za by ale si po jak k ve tak jeho byl který pro co jen už od při které však být není nebo",
+    "ron": "de și în a la cu nu o că pe un din se mai este care sunt ce pentru am fost să ca lui sau dar până prin după",
+    "tur": "bir ve bu da de için ne çok ile gibi daha ama var olarak kadar sonra en ben o ki mi olan değil her",
+    "fin": "ja on ei se että oli hän en ole mutta mitä niin kun kuin myös joka ovat sen tämä olen sitä hänen vain tai jos",
+    "hun": "a az és hogy nem is egy ez azt van volt meg csak de ki már még ha mint el vagy lesz",
+    "ind": "yang dan di itu dengan untuk tidak ini dari dalam akan pada juga saya ke karena tersebut bisa ada mereka lebih telah",
 }
 LANGUAGE_SETS = {k: frozenset(v.split()) for k, v in FREQUENT.items()}
-LANGUAGE_LETTERS = {"deu": "äöüß", "fra": "èêàçœùîô", "spa": "ñíóú¿¡á"}
+LANGUAGE_LETTERS = {
+    "deu": "äöüß", "fra": "èêàçœùîô", "spa": "ñíóú¿¡á", "ita": "òì", "por": "ãõ", "swe": "åäö", "dan": "æøå", "pol": "ąćęłńśźż",
+    "ces": "ěščřžůý", "ron": "ășț", "tur": "ğış", "hun": "őű",
+}
+#: The usual language of a script; letters by which others show.
+SCRIPTS = {
+    "CYRILLIC": "rus", "GREEK": "ell", "HEBREW": "heb", "ARABIC": "ara", "DEVANAGARI": "hin", "CJK": "cmn", "HIRAGANA": "jpn", "KATAKANA": "jpn",
+    "HANGUL": "kor", "THAI": "tha", "BENGALI": "ben", "GUJARATI": "guj", "GURMUKHI": "pan", "TAMIL": "tam", "TELUGU": "tel", "KANNADA": "kan",
+    "MALAYALAM": "mal", "SINHALA": "sin", "KHMER": "khm", "MYANMAR": "mya", "GEORGIAN": "kat", "ARMENIAN": "hye", "ETHIOPIC": "amh", "ORIYA": "ori",
+}
+SCRIPT_LETTERS = {"CYRILLIC": (("ukr", "їєґ"), ("bel", "ў"), ("mkd", "ѓќ"), ("srp", "ђћ")), "ARABIC": (("pes", "پچژگ"), ("urd", "ٹڈڑے"))}
+
+
+@lru_cache(maxsize=8192)
+def script_of(c: str) -> str:
+    """The first word of a letter's Unicode name."""
+    return unicodedata.name(c, "?").partition(" ")[0]
 
 
 def detect_language(text: str) -> tuple[str | None, float | None]:
-    """The likely language (ISO 639-3) of English, German, French and Spanish text, and how far it
-    leads from 0 to 1; None where nothing speaks for any."""
-    words = re.findall(r"[^\W\d_]+", text.lower())
+    """The likely language (ISO 639-3) of a text, and how far it leads from 0 to 1; None where nothing
+    speaks for any. The script that most letters are of tells many; Latin letters go by words."""
+    low = text.lower()
+    scripts = Counter(script_of(c) for c in low if c.isalpha()) if not low.isascii() else {}
+    other = {s: n for s, n in scripts.items() if s != "LATIN"}
+    if other and sum(other.values()) > scripts.get("LATIN", 0):
+        script = max(sorted(other), key=lambda s: other[s] * (3 if s in ("HIRAGANA", "KATAKANA") else 1))
+        found = SCRIPTS.get(script)
+        for code, own in SCRIPT_LETTERS.get(script, ()):
+            if any(c in own for c in low):
+                found = code
+        return (found, sum(other.values()) / sum(scripts.values())) if found else (None, None)
+    words = re.findall(r"[^\W\d_]+", low)
     scores = {k: float(sum(w in s for w in words)) for k, s in LANGUAGE_SETS.items()}
     for k, letters in LANGUAGE_LETTERS.items():
         scores[k] += 0.5 * sum(text.count(c) for c in letters)
