@@ -13,7 +13,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from heapq import heapify
 from heapq import heappop as pop
 from heapq import heappush as push
@@ -64,14 +64,11 @@ class WordBPE:
         self.rank_of = {self.vocab[a] * ROOM + self.vocab[b]: rank for rank, (a, b) in enumerate(pairs)}.get
         self.union = [self.vocab[a + b] for a, b in pairs]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.strings = {i: s for s, i in (self.vocab | self.special).items()}
         self.special_at = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.shortest = min(map(len, self.special), default=1 << 30)
-        #: by id, each string as it stands in a decoded text, with the space after it
-        self.spelled = pa.array([self.strings.get(i, "").encode() + b" " for i in range(max(self.strings) + 1)], pa.large_binary())
         self.word_at = regex.compile(split["pattern"]["Regex"])
         self.usual = regex.compile(r"[\t-\r -~\xA0-\u024F]*").fullmatch
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         names = byte_names()
         self.byte_of = {c: b for b, c in enumerate(names)}
         self.first = [self.vocab[c] for c in names]
@@ -81,6 +78,16 @@ class WordBPE:
         self.pairs, self.ranks = np.append(pair[order], np.iinfo(np.int64).max), np.append(order.astype(np.int32), NONE)
         self.unions = np.array(self.union, np.int64)
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
+    @cached_property
+    def spelled(self) -> pa.Array:
+        """By id, each string as it stands in a decoded text, with the space after it."""
+        strings = {i: s for s, i in (self.vocab | self.special).items()}
+        return pa.array([strings.get(i, "").encode() + b" " for i in range(max(strings) + 1)], pa.large_binary())
+
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word. A priority queue holds the candidate merges by rank, then place, over
         a doubly linked list of symbols. `live` has the rank that the symbol and its successor now

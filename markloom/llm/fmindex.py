@@ -24,7 +24,7 @@ from .common import byte_column, doc_texts, free_prefix, lean, met, scratch, ses
 #: Words of the n-grams whose least hash keys a window.
 GRAM = 8
 #: Words that a shard should hold: documents that own more are dealt by key, not by owner.
-SHARD_WORDS = 400_000
+SHARD_WORDS = 200_000
 #: Words of one key that an index can hold (about 100 bytes each); beyond, every window is dealt by
 #: its own hash, at the cost of a row for each.
 KEY_WORDS = 2_000_000

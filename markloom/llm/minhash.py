@@ -25,7 +25,7 @@ from .common import byte_column, doc_texts, free_prefix, lean, met, scratch, ses
 
 WORDS, BANDS, ROWS = 5, 30, 5
 #: Shingles of one side of a tile.
-TILE_SHINGLES = 1 << 20
+TILE_SHINGLES = 1 << 19
 #: An odd multiplier: shingles are polynomials of word hashes modulo 2^64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 

@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import CALL_BYTES, Remembered, texts_as_ids, word_bpe
+from .bpe import Remembered, texts_as_ids, word_bpe
 from .common import doc_texts, gathered, lean, session_of, stored
 
 #: Pieces that one partition packs at a time, and the most rounds; the last packs what is left as one.
 PARTITION_PIECES, ROUNDS = 50_000, 6
+#: Bytes of text that are encoded together: a few more lookups of repeated parts, and less memory.
+CALL_BYTES = 2 << 20
 PIECE_COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
