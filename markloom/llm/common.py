@@ -51,12 +51,13 @@ _scratch: list[list[str]] = []
 
 def stored(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lineage ends at files that
-    outlive any executor. Inside scratch() they go at its end, unless they are to be kept."""
+    outlive any executor. Inside scratch() they go at its end; those to be kept, at the end of the
+    scratch() around that one, if there is one."""
     spark = df.sparkSession
     path = fresh_dir(spark, label)
     df.write.parquet(path)
-    if _scratch and not keep:
-        _scratch[-1].append(path)
+    if holders := _scratch[:-1] if keep else _scratch:
+        holders[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -69,7 +70,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        _scratch.remove(paths)
+        _scratch.pop()
         for path in paths:
             removed(spark, path)
         give_back()
@@ -89,15 +90,21 @@ def free_prefix(columns: Iterable[str]) -> str:
     return prefix
 
 
-def met(left: DataFrame, right: DataFrame, keys: list[str], total: int | None = None) -> DataFrame:
+def met(left: DataFrame, right: DataFrame, keys: list[str], total: int | None = None, flag: str | None = None) -> DataFrame:
     """left joined with right on keys that are unique in right. right's column `copies` says how many
     rows of left have each key, `total` (counted if not given) how many that makes; `copies` does not
     go on. The keys of a thousandth of all those rows or more, at most HOT of them, are broadcast, so
-    no task gathers the rows of a very common key."""
+    no task gathers the rows of a very common key. With a `flag` all rows of left stay, and the column
+    of that name says whether right has their key."""
     if total is None:
         total = right.agg(F.sum("copies")).first()[0] or 0
     hot, cold = (right.where(f"copies * {HOT}L {sign} {total}L").drop("copies") for sign in (">=", "<"))
-    return left.join(F.broadcast(hot), keys).unionByName(left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+    if flag:
+        hot, cold = (x.withColumn(flag, F.lit(True)) for x in (hot, cold))
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "left" if flag else "inner")
+    if flag:
+        rest = rest.withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return left.join(F.broadcast(hot), keys).unionByName(rest)
 
 
 def byte_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:

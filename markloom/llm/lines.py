@@ -16,6 +16,7 @@ Consecutive ones join to maximal repeated runs, and these are deleted.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import ExitStack
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -52,20 +53,19 @@ def suffixes(docs: DataFrame) -> DataFrame:
     that share id and text are one document."""
     texts = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).where("doc_id IS NOT NULL AND text IS NOT NULL").select(*KEY, "text")
     line = letting(F.split("text", "\n"), lambda a: F.transform(F.filter(a, lambda x: x.rlike(WORD)), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b"))))
-    lines = texts.select(*KEY, line.alias("x")).select(*KEY, F.size("x").cast("long").alias("n"), F.posexplode("x").alias("o", "x"))
-    return lines.select(*KEY, F.col("o").cast("long").alias("o"), (F.col("n") - F.col("o")).alias("rest"), "x.a", "x.b").dropDuplicates([*KEY, "o"])
+    lines = texts.select(*KEY, line.alias("x")).dropDuplicates(KEY).select(*KEY, F.size("x").cast("long").alias("n"), F.posexplode("x").alias("o", "x"))
+    return lines.select(*KEY, F.col("o").cast("long").alias("o"), (F.col("n") - F.col("o")).alias("rest"), "x.a", "x.b")
 
 
 def placed() -> Column:
     return F.struct(*KEY, "o")
 
 
-def ordered(rows: DataFrame, order: list[str], most: int) -> tuple[DataFrame, WindowSpec, bool]:
-    """rows (at most `most`) with `part`: the number of their range partition; the order within parts;
-    whether there are several. Then they are stored, as a partition's number must not change."""
-    many = most > PART_NAMES
-    rows = rows.repartitionByRange(-(-most // PART_NAMES) if many else 1, *order).withColumn("part", F.spark_partition_id() if many else F.lit(0))
-    return stored(rows, "ranged") if many else rows, Window.partitionBy("part").orderBy(*order), many
+def ordered(rows: DataFrame, order: list[str], most: int) -> tuple[DataFrame, WindowSpec]:
+    """rows (at most `most`) with `part`: the number of their range partition, stored as it must not
+    change; and the order within parts."""
+    rows = rows.repartitionByRange(max(1, -(-most // PART_NAMES)), *order).withColumn("part", F.spark_partition_id())
+    return stored(rows, "ranged"), Window.partitionBy("part").orderBy(*order)
 
 
 def numbered(names: DataFrame, most: int) -> DataFrame:
@@ -73,25 +73,22 @@ def numbered(names: DataFrame, most: int) -> DataFrame:
     suffixes stand among those of their first line, and for all but the first name of a rank p: the
     first place of the name before, and p_on: whether that one goes on."""
     order, rank = [*RANK, *NEXT], F.struct(*RANK)
-    rows, within, many = ordered(names, order, most)
+    rows, within = ordered(names, order, most)
     near = F.struct(rank.alias("rank"), F.col("on"), F.col("first"))
     rows = rows.withColumns({"near": F.lag(near).over(within), "at": F.sum("copies").over(within) - F.col("copies")})
     changes = F.col("near").isNull() | (F.col("near.rank") != rank)
-    if many:
-        # a row for each part of the sort: few, however many names there are. A rank that goes on from
-        # the part before began where that part's last rank did
-        inside = rows.withColumn("begins", F.last(F.when(changes, F.col("at")), True).over(within))
-        last = F.struct(*order)
-        parts = inside.groupBy("part").agg(F.sum("copies").alias("n"), F.min(rank).alias("low"), F.max(rank).alias("high"), F.max_by(near, last).alias("last"), F.max_by("begins", last).alias("begins"))
-        by = Window.orderBy("part")
-        parts = parts.withColumns({"before": F.sum("n").over(by) - F.col("n"), "last": F.lag("last").over(by), "from": F.coalesce(F.col("low") == F.lag("high").over(by), F.lit(False))})
-        own = F.when(~(F.col("from") & (F.col("low") == F.col("high"))), F.col("before") + F.col("begins"))
-        parts = parts.withColumn("carried", F.when(F.col("from"), F.last(own, True).over(by.rowsBetween(Window.unboundedPreceding, -1))))
-        rows = rows.join(F.broadcast(parts.select("part", "before", "last", "carried")), "part").withColumn("at", F.col("before") + F.col("at"))
-        start = F.when(F.col("near").isNull(), F.coalesce("carried", "at")).when(changes, F.col("at"))
-        rows = rows.withColumn("begins", F.last(start, True).over(within)).withColumn("near", F.coalesce("near", "last"))
-    else:
-        rows = rows.withColumn("begins", F.last(F.when(changes, F.col("at")), True).over(within))
+    # a row for each part of the sort: few, however many names there are. A rank that goes on from
+    # the part before began where that part's last rank did
+    inside = rows.withColumn("begins", F.last(F.when(changes, F.col("at")), True).over(within))
+    last = F.struct(*order)
+    parts = inside.groupBy("part").agg(F.sum("copies").alias("n"), F.min(rank).alias("low"), F.max(rank).alias("high"), F.max_by(near, last).alias("last"), F.max_by("begins", last).alias("begins"))
+    by = Window.orderBy("part")
+    parts = parts.withColumns({"before": F.sum("n").over(by) - F.col("n"), "last": F.lag("last").over(by), "from": F.coalesce(F.col("low") == F.lag("high").over(by), F.lit(False))})
+    own = F.when(~(F.col("from") & (F.col("low") == F.col("high"))), F.col("before") + F.col("begins"))
+    parts = parts.withColumn("carried", F.when(F.col("from"), F.last(own, True).over(by.rowsBetween(Window.unboundedPreceding, -1))))
+    rows = rows.join(F.broadcast(parts.select("part", "before", "last", "carried")), "part").withColumn("at", F.col("before") + F.col("at"))
+    start = F.when(F.col("near").isNull(), F.coalesce("carried", "at")).when(changes, F.col("at"))
+    rows = rows.withColumn("begins", F.last(start, True).over(within)).withColumn("near", F.coalesce("near", "last"))
     same = F.col("near.rank") == rank
     return rows.select(*RANK, *NEXT, "copies", "first", (F.col("r") + F.col("at") - F.col("begins")).alias("s"), F.when(same, F.col("near.first")).alias("p"), F.when(same, F.col("near.on")).alias("p_on"))
 
@@ -101,34 +98,38 @@ def suffix_array(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]
     rest, RANK (final). splits: RANK of each name that parted from the one before it, the width w and
     the level at which it did, the first places p and q of both, and p_on. levels: for each j, KEY, o,
     RANK of the suffixes whose first 2^j lines occur twice or more."""
-    lines = stored(suffixes(docs), "lines")
-    shared = stored(lines.groupBy("a", "b").agg(F.count("*").alias("copies")).where("copies > 1"), "names")
-    count = shared.agg(F.sum("copies")).first()[0] or 0
-    live = met(lines.select(*KEY, "o", "a", "b"), shared, ["a", "b"], count).select(*KEY, "o", F.lit(True).alias("live"))
-    ranks = lines.join(live, [*KEY, "o"], "left").select(*KEY, "o", "rest", "a", "b", F.lit(0).cast("long").alias("r"), F.coalesce("live", F.lit(False)).alias("live"))
-    ranks = ranks.withColumn("was", F.col("live"))
-    levels, places, splits, width = [], [], [], 1
-    while True:
-        # `some`: the document has suffixes that go on; `was`: this one did until now
-        document = Window.partitionBy(*KEY)
-        later = F.first(F.struct(*RANK)).over(document.orderBy("o").rangeBetween(width, width))
-        ranks = ranks.withColumns({"some": F.max("live").over(document), "later": later}).where("some OR was")
-        none = F.lit(0).cast("long")
-        ranks = stored(ranks.select(*KEY, "o", "rest", *RANK, "live", "was", "some", F.col("later").isNotNull().alias("on"), *(F.coalesce(F.col(f"later.{c}"), none).alias(f"next_{c}") for c in RANK)), "ranks")
-        places.append(ranks.where("was AND NOT live").select(*KEY, "o", "rest", *RANK))
-        if not count:
-            break
-        levels.append(ranks.where("live").select(*KEY, "o", *RANK))
-        pairs = ranks.where("live").select(*KEY, "o", "rest", *RANK, *NEXT)
-        names = pairs.groupBy(*RANK, *NEXT).agg(F.count("*").alias("copies"), F.min(placed()).alias("first"))
-        names = stored(numbered(names, count), "numbered")
-        splits.append(names.where("p IS NOT NULL").select("a", "b", F.col("s").alias("r"), F.lit(width).cast("long").alias("w"), F.lit(len(levels) - 1).alias("level"), "p", F.col("first").alias("q"), "p_on"))
-        goes_on = (F.col("copies") > 1) & F.col("on")
-        found = met(pairs, names.select(*RANK, *NEXT, "copies", "s", goes_on.alias("live")), [*RANK, *NEXT], count)
-        found = found.select(*KEY, "o", "rest", "a", "b", F.col("s").alias("r"), "live", F.lit(True).alias("was"))
-        ranks = ranks.where("some AND NOT live").select(*KEY, "o", "rest", *RANK, "live", F.lit(False).alias("was")).unionByName(found)
-        count = names.where(goes_on).agg(F.sum("copies")).first()[0] or 0
-        width *= 2
+    with ExitStack() as early:
+        # what only the first ranks read goes once they are stored
+        early.enter_context(scratch(docs.sparkSession))
+        lines = stored(suffixes(docs), "lines")
+        shared = stored(lines.groupBy("a", "b").agg(F.count("*").alias("copies")).where("copies > 1"), "names")
+        count = shared.agg(F.sum("copies")).first()[0] or 0
+        ranks = met(lines, shared, ["a", "b"], count, "live").select(*KEY, "o", "rest", "a", "b", F.lit(0).cast("long").alias("r"), "live")
+        ranks = ranks.withColumn("was", F.col("live"))
+        levels, places, splits, width = [], [], [], 1
+        while True:
+            # `some`: the document has suffixes that go on, and so all of its rows; `was`: this one did until now
+            document = Window.partitionBy(*KEY)
+            later = F.lead(F.struct(*RANK), width).over(document.orderBy("o"))
+            ranks = ranks.withColumns({"some": F.max("live").over(document), "later": later}).where("some OR was")
+            none = F.lit(0).cast("long")
+            ranks = stored(ranks.select(*KEY, "o", "rest", *RANK, "live", "was", "some", F.col("later").isNotNull().alias("on"), *(F.coalesce(F.col(f"later.{c}"), none).alias(f"next_{c}") for c in RANK)), "ranks", keep=not places)
+            early.close()
+            places.append(ranks.where("was AND NOT live").select(*KEY, "o", "rest", *RANK))
+            if not count:
+                break
+            levels.append(ranks.where("live").select(*KEY, "o", *RANK))
+            pairs = ranks.where("live").select(*KEY, "o", "rest", *RANK, *NEXT)
+            names = pairs.groupBy(*RANK, *NEXT).agg(F.count("*").alias("copies"), F.min(placed()).alias("first"))
+            with scratch(docs.sparkSession):
+                names = stored(numbered(names, count), "numbered", keep=True)
+            splits.append(names.where("p IS NOT NULL").select("a", "b", F.col("s").alias("r"), F.lit(width).cast("long").alias("w"), F.lit(len(levels) - 1).alias("level"), "p", F.col("first").alias("q"), "p_on"))
+            goes_on = (F.col("copies") > 1) & F.col("on")
+            found = met(pairs, names.select(*RANK, *NEXT, "copies", "s", goes_on.alias("live")), [*RANK, *NEXT], count)
+            found = found.select(*KEY, "o", "rest", "a", "b", F.col("s").alias("r"), "live", F.lit(True).alias("was"))
+            ranks = ranks.where("some AND NOT live").select(*KEY, "o", "rest", *RANK, "live", F.lit(False).alias("was")).unionByName(found)
+            count = names.where(goes_on).agg(F.sum("copies")).first()[0] or 0
+            width *= 2
     if not splits:
         none = places[0].where("false")
         splits.append(none.select(*RANK, F.col("o").alias("w"), F.lit(0).alias("level"), placed().alias("p"), placed().alias("q"), F.lit(True).alias("p_on")))
@@ -157,13 +158,12 @@ def repeated_windows(docs: DataFrame, least: int) -> DataFrame:
     cuts = stored(common_prefixes(splits, levels), "prefixes").where(F.col("lcp") < least).select(*RANK, F.lit(True).alias("cut"))
     ranks = stored(places.groupBy(*RANK).agg(F.count("*").alias("copies"), F.min(placed()).alias("first")), "array")
     # the cut at or before each rank begins its interval; without one the first line's suffixes do
-    rows, within, many = ordered(ranks.join(cuts, RANK, "full"), RANK, ranks.count())
+    rows, within = ordered(ranks.join(cuts, RANK, "full"), RANK, ranks.count())
     cut = F.max(F.when(F.col("cut"), F.struct(*RANK)))
     rows = rows.withColumn("last", cut.over(within))
-    if many:
-        carried = rows.groupBy("part").agg(F.max("last").alias("before"))
-        carried = carried.select("part", F.max("before").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-        rows = rows.join(F.broadcast(carried), "part").withColumn("last", F.coalesce("last", "before"))
+    carried = rows.groupBy("part").agg(F.max("last").alias("before"))
+    carried = carried.select("part", F.max("before").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    rows = rows.join(F.broadcast(carried), "part").withColumn("last", F.coalesce("last", "before"))
     inside = (F.col("last.a") == F.col("a")) & (F.col("last.b") == F.col("b"))
     rows = stored(rows.where("copies IS NOT NULL").select(*RANK, "copies", "first", F.when(inside, F.col("last.r")).otherwise(F.lit(0)).cast("long").alias("interval")), "intervals")
     earliest = rows.groupBy("a", "b", "interval").agg(F.count("*").alias("copies"), F.min("first").alias("earliest"))
@@ -173,18 +173,19 @@ def repeated_windows(docs: DataFrame, least: int) -> DataFrame:
 
 
 def maximal_runs(docs: DataFrame, least: int = 2) -> DataFrame:
-    """The later copies of maximal repeated runs: KEY, start (among the lines with a word), lines."""
+    """The later copies of maximal repeated runs: KEY, start (among the lines with a word), lines. Stored."""
     on = Window.partitionBy(*KEY).orderBy("o")
-    runs = repeated_windows(docs, least).withColumn("run", F.col("o") - F.row_number().over(on))
-    return runs.groupBy(*KEY, "run").agg(F.min("o").alias("start"), (F.count("*") + least - 1).alias("lines")).select(*KEY, "start", "lines")
+    with scratch(docs.sparkSession):
+        runs = repeated_windows(docs, least).withColumn("run", F.col("o") - F.row_number().over(on))
+        runs = runs.groupBy(*KEY, "run").agg(F.min("o").alias("start"), (F.count("*") + least - 1).alias("lines"))
+        return stored(runs.select(*KEY, "start", "lines"), "runs", keep=True)
 
 
 def cut(docs: DataFrame, least: int) -> tuple[DataFrame, str]:
     """docs with three columns (how many lines go: removed; lines with a word: lines; the text left:
     kept) under a prefix that no column of docs has, and that prefix."""
     new = free_prefix(docs.columns)
-    with scratch(docs.sparkSession):
-        late = stored(maximal_runs(docs, least).groupBy(*KEY).agg(F.collect_list(F.struct("start", "lines")).alias("runs")), "runs", keep=True)
+    late = maximal_runs(docs, least).groupBy(*KEY).agg(F.collect_list(F.struct("start", "lines")).alias("runs"))
     late = late.select(F.col("doc_id").alias(f"{new}doc"), F.col("t").alias(f"{new}t"), F.col("runs").alias(f"{new}runs"))
     runs = F.col(f"{new}runs")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
