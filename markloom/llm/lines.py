@@ -28,6 +28,8 @@ WORD = r"[^\x20\x09-\x0D]"
 KEY = ["doc_id", "t"]
 #: Names that a task sorts.
 PART_NAMES = 100_000
+#: Most bits, a power of two, of the map that tells texts with later copies from others: 262144 words at most are broadcast.
+BITS = 1 << 24
 #: A suffix's rank, and that of the one it is paired with: whether its document goes on that far, and its rank.
 RANK = ["a", "b", "r"]
 NEXT = ["on", "next_a", "next_b", "next_r"]
@@ -138,16 +140,20 @@ def suffix_array(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]
 
 def common_prefixes(splits: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """RANK, lcp: how many lines the suffix of that rank has in common with the one before it."""
-    rows = splits.withColumn("lcp", F.col("w"))
+    # names that parted at a level share its width; only levels below it can add to that, if both go on
+    deeper = (F.col("level") > 0) & F.col("p_on")
+    whole = splits.where(~deeper).select(*RANK, F.col("w").alias("lcp"))
+    rows = splits.where("false").withColumn("lcp", F.col("w"))
     for step, level in enumerate(range(len(levels) - 2, -1, -1)):
         if step % 3 == 2:
             rows = stored(rows, "descent")  # a plan of few joins
+        rows = rows.unionByName(splits.where(deeper & (F.col("level") == level + 1)).withColumn("lcp", F.col("w")))
         for side in "pq":
             names = levels[level].select(F.col("doc_id").alias("d"), F.col("t").alias("e"), F.col("o").alias("f"), F.struct(*RANK).alias(f"{side}_rank"))
             rows = rows.join(names, (F.col(f"{side}.doc_id") == F.col("d")) & (F.col(f"{side}.t") == F.col("e")) & (F.col(f"{side}.o") + F.col("lcp") == F.col("f")), "left").drop("d", "e", "f")
-        equal = (F.col("level") > level) & F.col("p_on") & F.coalesce(F.col("p_rank") == F.col("q_rank"), F.lit(False))
+        equal = F.coalesce(F.col("p_rank") == F.col("q_rank"), F.lit(False))
         rows = rows.withColumn("lcp", F.col("lcp") + F.when(equal, F.lit(1 << level)).otherwise(F.lit(0))).drop("p_rank", "q_rank")
-    return rows.select(*RANK, "lcp")
+    return whole.unionByName(rows.select(*RANK, "lcp"))
 
 
 def repeated_windows(docs: DataFrame, least: int) -> DataFrame:
@@ -181,11 +187,30 @@ def maximal_runs(docs: DataFrame, least: int = 2) -> DataFrame:
         return stored(runs.select(*KEY, "start", "lines"), "runs", keep=True)
 
 
+def apart(docs: DataFrame, runs: DataFrame, new: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs that may have one of runs (all that do, and few others), and the rest. A bit
+    map of the keys of runs is broadcast, of bounded size; neither part is shuffled for it. `new`
+    begins no column of docs."""
+    bits = min(BITS, 1 << max(6, (8 * runs.count()).bit_length()))
+    word, spot = f"{new}word", f"{new}spot"
+
+    def place(doc_id: Column, t: Column) -> list[Column]:
+        bit = F.pmod(F.xxhash64(doc_id, t), F.lit(bits).cast("long"))
+        return [F.shiftright(bit, 6).alias(word), F.pmod(bit, F.lit(64)).cast("int").alias(spot)]
+
+    words = runs.select(*place(F.col("doc_id"), F.col("t"))).groupBy(word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(spot))).alias(f"{new}bits"))
+    known = docs.select("*", *place(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))).join(F.broadcast(words), word, "left")
+    hit = F.coalesce(F.getbit(f"{new}bits", spot) == 1, F.lit(False))
+    some, others = (known.where(x).drop(word, spot, f"{new}bits") for x in (hit, ~hit))
+    return some, others
+
+
 def cut(docs: DataFrame, least: int) -> tuple[DataFrame, str]:
     """docs with three columns (how many lines go: removed; lines with a word: lines; the text left:
     kept) under a prefix that no column of docs has, and that prefix."""
     new = free_prefix(docs.columns)
-    late = maximal_runs(docs, least).groupBy(*KEY).agg(F.collect_list(F.struct("start", "lines")).alias("runs"))
+    found = maximal_runs(docs, least)
+    late = found.groupBy(*KEY).agg(F.collect_list(F.struct("start", "lines")).alias("runs"))
     late = late.select(F.col("doc_id").alias(f"{new}doc"), F.col("t").alias(f"{new}t"), F.col("runs").alias(f"{new}runs"))
     runs = F.col(f"{new}runs")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -195,7 +220,11 @@ def cut(docs: DataFrame, least: int) -> tuple[DataFrame, str]:
     left = letting(F.split(text, "\n"), lambda a: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), gone), lambda i: a[i]), "\n"))
     removed = F.when(runs.isNull(), F.lit(0)).otherwise(F.size(orders)).cast("long")
     kept = F.when(runs.isNull(), F.col("text").cast("string")).otherwise(left)
-    return docs.join(late, same, "left").withColumns({f"{new}removed": removed, f"{new}lines": F.size(written_lines(text)).cast("long"), f"{new}kept": kept}), new
+    # only texts that may have runs meet them
+    some, others = apart(docs, found, new)
+    none = (F.lit(None).cast(f.dataType).alias(f.name) for f in late.schema)
+    rows = some.join(late, same, "left").union(others.select("*", *none))
+    return rows.withColumns({f"{new}removed": removed, f"{new}lines": F.size(written_lines(text)).cast("long"), f"{new}kept": kept}), new
 
 
 def dedup_digest(docs: DataFrame, least: int = 2) -> DataFrame:

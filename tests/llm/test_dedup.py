@@ -208,6 +208,50 @@ def test_deletions_come_from_maximal_runs(spark, monkeypatch):
     assert sorted((r.doc_id, r.start, r.lines) for r in found[0].collect()) == [(2, 1, 4), (2, 6, 2)]
 
 
+def shuffled_bytes(df):
+    """Runs df; the rows, and the bytes that its exchanges took in."""
+    run = df._jdf.queryExecution()
+    found = [list(r) for r in df.collect()]
+    plans, size = [run.executedPlan()], 0
+    while plans:
+        p = plans.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            plans.append(p.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            plans.append(p.plan())
+        elif kind == "ShuffleExchangeExec":
+            size += p.metrics().apply("dataSize").value()
+        plans += [p.children().apply(i) for i in range(p.children().size())]
+    return found, size
+
+
+def test_texts_without_later_copies_are_not_shuffled(spark):
+    # no broadcast by size, as on a large table
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = {i: "\n".join(f"{i} {k} a line of its own" for k in range(100)) for i in range(300)} | {400: "p\nq\nr", 401: "x\np\nq"}
+        rows, size = shuffled_bytes(lines.dedup_digest(frame(spark, texts), 2))
+        assert {i: tuple(x) for i, *x in rows} == brute_lines(texts, 2)
+        assert size < 0.2 * sum(map(len, texts.values()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_texts_apart_are_all_there(spark, monkeypatch, bits):
+    monkeypatch.setattr(lines, "BITS", bits)
+    rows = [(i, f"{i}\na\nb" if i % 9 == 0 else f"{i}\nc") for i in range(200)] + [(18, "18\na\nb"), (None, "a\nb"), (300, None), (300, "x\na\nb")]
+    docs = frame(spark, rows)
+    runs = lines.maximal_runs(docs, 2)
+    some, others = ([(r.doc_id, r.text) for r in x.collect()] for x in lines.apart(docs, runs, "__"))
+    assert sorted(map(str, some + others)) == sorted(map(str, rows))
+    late = {r.doc_id for r in runs.collect()}
+    assert late == {*range(9, 200, 9), 300}
+    assert {r for r in rows if r[0] in late and r[1] and "a" in r[1]} <= set(some)
+    assert bits == 64 or len(some) < 60
+
+
 def test_native_operator_has_no_python(spark):
     plan = lines.dedup_digest(frame(spark, {1: "a\nb"}), 2)._jdf.queryExecution().toString()
     assert "InArrow" not in plan and "Python" not in plan
