@@ -78,6 +78,12 @@ class WordBPE:
         self.pairs, self.ranks = np.append(pair[order], np.iinfo(np.int64).max), np.append(order.astype(np.int32), NONE)
         self.unions = np.array(self.union, np.int64)
 
+    @cached_property
+    def byte_ranks(self) -> np.ndarray:
+        """The merge rank of each two bytes that follow each other, at a * 512 + b; + 256 if b ends its word."""
+        first, last = np.array(self.first, np.int64), np.array(self.last, np.int64)
+        return self.rank(np.repeat(first, 512), np.tile(np.concatenate([first, last]), 256))
+
     @cached_property
     def library(self) -> Tokenizer:
         return Tokenizer.from_file(self.path)
@@ -154,7 +160,9 @@ class WordBPE:
             ids = first[raw]
             ends = np.cumsum(size)
             ids[ends - 1] = last[raw[ends - 1]]
-            rank = np.append(self.rank(ids[:-1], ids[1:]), NONE)
+            next_to = raw.astype(np.int32)
+            next_to[ends - 1] += 256
+            rank = np.append(self.byte_ranks[raw[:-1] * np.int32(512) + next_to[1:]], NONE)
             rank[ends - 1] = NONE
             while len(name):
                 start = ends - size
@@ -272,17 +280,23 @@ class Remembered(dict):
         """For each of distinct parts what `make` gives for it; `make` gets the new ones together. Of
         these only those marked in `often` are kept."""
         found = list(map(self.get, parts))
-        fresh = []
-        for i in [i for i, x in enumerate(found) if x is None]:
-            if (x := self.old.get(parts[i])) is None:
+        missing = [i for i, x in enumerate(found) if x is None]
+        fresh, known = [], {}
+        for i, x in zip(missing, map(self.old.get, [parts[i] for i in missing]), strict=True):
+            if x is None:
                 fresh.append(i)
             else:
-                found[i] = self.keep(parts[i], x)
+                found[i] = known[parts[i]] = x
         made = make([parts[i] for i in fresh]) if fresh else []
         for i, x in zip(fresh, made, strict=True):
             found[i] = x
-            if often is None or often[i]:
-                self.keep(parts[i], x)
+            if (often is None or often[i]) and len(parts[i]) <= LONGEST:
+                known[parts[i]] = x
+        if len(self) + len(known) <= self.most:
+            self.update(known)
+        else:
+            for part, x in known.items():
+                self.keep(part, x)
         return found
 
 

@@ -28,14 +28,17 @@ from .common import doc_texts, gathered, lean, session_of, stored
 PARTITION_PIECES, ROUNDS = 50_000, 6
 #: Bytes of text that are encoded together: a few more lookups of repeated parts, and less memory.
 CALL_BYTES = 2 << 20
+#: Parts and words that a worker remembers.
+KEPT, WORDS = 400_000, 400_000
 PIECE_COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> tuple[Remembered, Callable[[list[bytes]], list[bytes]]]:
-    """Per worker and file: the memory of parts of texts, and how new ones are encoded."""
-    bpe = word_bpe(path)
-    return Remembered(), lambda parts: bpe.encode_parts(parts, bpe.merge_together)
+    """Per worker and file: the memory of parts of texts, and how new ones are encoded; their words
+    have a memory too, as new parts are mostly made of known words."""
+    bpe, words = word_bpe(path), Remembered(most=WORDS)
+    return Remembered(most=KEPT), lambda parts: bpe.encode_parts(parts, lambda some: words.all(some, bpe.merge_together))
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, limit: int) -> DataFrame:
@@ -47,18 +50,18 @@ def token_pieces(docs: DataFrame, vocabulary: str, limit: int) -> DataFrame:
         memory, make = encoder(vocabulary)
         for batch in gathered(batches, "text", CALL_BYTES):
             ids, ends = texts_as_ids(batch.column("text"), memory, make)
-            # room for id 0 after the ids of each text
-            whole = np.zeros(len(ids) + batch.num_rows, "<u4")
             sizes = np.diff(ends)
-            starts = ends[:-1] + np.arange(batch.num_rows)
-            whole[np.arange(len(ids)) + np.repeat(np.arange(batch.num_rows), sizes)] = ids
             count = sizes // limit + 1  # sizes + 1 ids, cut every `limit`
             row = np.repeat(np.arange(batch.num_rows), count)
             piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             at = piece * limit
             length = np.minimum(limit, sizes[row] + 1 - at)
-            begin = starts[row] + at
-            check = [zlib.crc32(whole[a : a + n]) for a, n in zip(begin.tolist(), length.tolist(), strict=True)]
+            begin = ends[:-1][row] + at
+            stop = np.minimum(begin + length, ends[1:][row])
+            check = [zlib.crc32(ids[a:b]) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
+            # id 0 ends the last piece of each text
+            for i in np.flatnonzero(stop - begin < length).tolist():
+                check[i] = zlib.crc32(bytes(4), check[i])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(at, pa.int64()), pa.array(length, pa.int64()), pa.array(check, pa.int64())], names=[x.split()[0] for x in PIECE_COLUMNS.split(", ")])
 
     return doc_texts(docs).mapInArrow(lean(run), PIECE_COLUMNS)

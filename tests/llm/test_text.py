@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from markloom.llm import bpe, chat, packing, quality, queries, rules, topk, warc
@@ -113,6 +114,21 @@ def test_packing_by_counts_equals_best_fit_decreasing():
             assert max(last) + 1 == len(packing.best_fit_decreasing(lengths, limit)[2])
 
 
+def test_packing_merges_a_word_once(spark, monkeypatch):
+    # words of one batch come again in the next one, within other parts
+    packing.encoder.cache_clear()
+    merged, whole = [], bpe.WordBPE.merge_together
+    monkeypatch.setattr(bpe.WordBPE, "merge_together", lambda self, words: merged.extend(words) or whole(self, words))
+    memory, make = packing.encoder(queries.vocabulary())
+    for texts in (["abc,def abc", "xyz!"], ["def;abc", "xyz?", "(new"]):
+        ids, ends = bpe.texts_as_ids(pa.array(texts), memory, make)
+        one = bpe.word_bpe(queries.vocabulary())
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [one.chunk(x) for x in texts]
+    packing.encoder.cache_clear()
+    assert sorted(merged) == sorted(set(merged))
+    assert {b"abc", b"def", b"xyz", b"new"} <= set(merged)
+
+
 def test_packing_of_an_empty_table(spark):
     assert packing.pack_documents(odd_frame(spark).limit(0), queries.vocabulary(), 64).count() == 0
 
