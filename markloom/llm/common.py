@@ -174,6 +174,12 @@ def gathered(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Itera
         yield joined()
 
 
+def jvm_collected(spark: SparkSession) -> None:
+    """The driver's JVM collects its garbage and gives back heap. For loops of many small jobs: their
+    plans and generated code are garbage soon, but the heap would rather grow to its limit first."""
+    spark._jvm.System.gc()
+
+
 def doc_texts(docs: DataFrame, *more: str) -> DataFrame:
     """Only the columns that an operator needs, so that no other column's name can clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .common import free_prefix, met, scratch, stored
+from .common import free_prefix, jvm_collected, met, scratch, stored
 
 WORD = r"[^\x20\x09-\x0D]"
 KEY = ["doc_id", "t"]
@@ -95,11 +95,11 @@ def numbered(names: DataFrame, most: int) -> DataFrame:
     return rows.select(*RANK, *NEXT, "copies", "first", (F.col("r") + F.col("at") - F.col("begins")).alias("s"), F.when(same, F.col("near.first")).alias("p"), F.when(same, F.col("near.on")).alias("p_on"))
 
 
-def suffix_array(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+def suffix_array(docs: DataFrame) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
     """(places, splits, levels) of the suffixes whose first line occurs twice or more. places: KEY, o,
-    rest, RANK (final). splits: RANK of each name that parted from the one before it, the width w and
-    the level at which it did, the first places p and q of both, and p_on. levels: for each j, KEY, o,
-    RANK of the suffixes whose first 2^j lines occur twice or more."""
+    rest, RANK (final). splits: for each level j, RANK of the names that parted from the one before
+    them at its width w = 2^j, the first places p and q of both, and p_on; one empty table if there is
+    no level. levels: for each j, KEY, o, RANK of the suffixes whose first 2^j lines occur twice or more."""
     with ExitStack() as early:
         # what only the first ranks read goes once they are stored
         early.enter_context(scratch(docs.sparkSession))
@@ -125,35 +125,38 @@ def suffix_array(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]
             names = pairs.groupBy(*RANK, *NEXT).agg(F.count("*").alias("copies"), F.min(placed()).alias("first"))
             with scratch(docs.sparkSession):
                 names = stored(numbered(names, count), "numbered", keep=True)
-            splits.append(names.where("p IS NOT NULL").select("a", "b", F.col("s").alias("r"), F.lit(width).cast("long").alias("w"), F.lit(len(levels) - 1).alias("level"), "p", F.col("first").alias("q"), "p_on"))
+            splits.append(names.where("p IS NOT NULL").select("a", "b", F.col("s").alias("r"), F.lit(width).cast("long").alias("w"), "p", F.col("first").alias("q"), "p_on"))
             goes_on = (F.col("copies") > 1) & F.col("on")
             found = met(pairs, names.select(*RANK, *NEXT, "copies", "s", goes_on.alias("live")), [*RANK, *NEXT], count)
             found = found.select(*KEY, "o", "rest", "a", "b", F.col("s").alias("r"), "live", F.lit(True).alias("was"))
             ranks = ranks.where("some AND NOT live").select(*KEY, "o", "rest", *RANK, "live", F.lit(False).alias("was")).unionByName(found)
             count = names.where(goes_on).agg(F.sum("copies")).first()[0] or 0
             width *= 2
+            jvm_collected(docs.sparkSession)
     if not splits:
         none = places[0].where("false")
-        splits.append(none.select(*RANK, F.col("o").alias("w"), F.lit(0).alias("level"), placed().alias("p"), placed().alias("q"), F.lit(True).alias("p_on")))
-    return reduce(DataFrame.unionByName, places), reduce(DataFrame.unionByName, splits), levels
+        splits.append(none.select(*RANK, F.col("o").alias("w"), placed().alias("p"), placed().alias("q"), F.lit(True).alias("p_on")))
+    return reduce(DataFrame.unionByName, places), splits, levels
 
 
-def common_prefixes(splits: DataFrame, levels: list[DataFrame]) -> DataFrame:
+def common_prefixes(splits: list[DataFrame], levels: list[DataFrame]) -> DataFrame:
     """RANK, lcp: how many lines the suffix of that rank has in common with the one before it."""
     # names that parted at a level share its width; only levels below it can add to that, if both go on
-    deeper = (F.col("level") > 0) & F.col("p_on")
-    whole = splits.where(~deeper).select(*RANK, F.col("w").alias("lcp"))
-    rows = splits.where("false").withColumn("lcp", F.col("w"))
+    lcp = F.col("w").alias("lcp")
+    whole = [splits[0].select(*RANK, lcp), *(x.where("NOT p_on").select(*RANK, lcp) for x in splits[1:])]
+    rows = None
     for step, level in enumerate(range(len(levels) - 2, -1, -1)):
         if step % 3 == 2:
             rows = stored(rows, "descent")  # a plan of few joins
-        rows = rows.unionByName(splits.where(deeper & (F.col("level") == level + 1)).withColumn("lcp", F.col("w")))
+            jvm_collected(rows.sparkSession)
+        own = splits[level + 1].where("p_on").select(*RANK, "p", "q", lcp)
+        rows = rows.unionByName(own) if rows else own
         for side in "pq":
             names = levels[level].select(F.col("doc_id").alias("d"), F.col("t").alias("e"), F.col("o").alias("f"), F.struct(*RANK).alias(f"{side}_rank"))
             rows = rows.join(names, (F.col(f"{side}.doc_id") == F.col("d")) & (F.col(f"{side}.t") == F.col("e")) & (F.col(f"{side}.o") + F.col("lcp") == F.col("f")), "left").drop("d", "e", "f")
         equal = F.coalesce(F.col("p_rank") == F.col("q_rank"), F.lit(False))
         rows = rows.withColumn("lcp", F.col("lcp") + F.when(equal, F.lit(1 << level)).otherwise(F.lit(0))).drop("p_rank", "q_rank")
-    return whole.unionByName(rows.select(*RANK, "lcp"))
+    return reduce(DataFrame.unionByName, [*whole, *([rows.select(*RANK, "lcp")] if rows else [])])
 
 
 def repeated_windows(docs: DataFrame, least: int) -> DataFrame:
@@ -162,6 +165,7 @@ def repeated_windows(docs: DataFrame, least: int) -> DataFrame:
     places, splits, levels = suffix_array(docs)
     places = places.where(F.col("rest") >= least)
     cuts = stored(common_prefixes(splits, levels), "prefixes").where(F.col("lcp") < least).select(*RANK, F.lit(True).alias("cut"))
+    jvm_collected(docs.sparkSession)
     ranks = stored(places.groupBy(*RANK).agg(F.count("*").alias("copies"), F.min(placed()).alias("first")), "array")
     # the cut at or before each rank begins its interval; without one the first line's suffixes do
     rows, within = ordered(ranks.join(cuts, RANK, "full"), RANK, ranks.count())
@@ -175,6 +179,7 @@ def repeated_windows(docs: DataFrame, least: int) -> DataFrame:
     earliest = rows.groupBy("a", "b", "interval").agg(F.count("*").alias("copies"), F.min("first").alias("earliest"))
     known = met(rows.withColumnRenamed("copies", "own"), stored(earliest, "earliest"), ["a", "b", "interval"])
     known = stored(known.select(*RANK, F.col("own").alias("copies"), "earliest"), "known")
+    jvm_collected(docs.sparkSession)
     return met(places, known, RANK).where(F.col("earliest") < placed()).select(*KEY, "o")
 
 
@@ -184,7 +189,9 @@ def maximal_runs(docs: DataFrame, least: int = 2) -> DataFrame:
     with scratch(docs.sparkSession):
         runs = repeated_windows(docs, least).withColumn("run", F.col("o") - F.row_number().over(on))
         runs = runs.groupBy(*KEY, "run").agg(F.min("o").alias("start"), (F.count("*") + least - 1).alias("lines"))
-        return stored(runs.select(*KEY, "start", "lines"), "runs", keep=True)
+        runs = stored(runs.select(*KEY, "start", "lines"), "runs", keep=True)
+    jvm_collected(docs.sparkSession)
+    return runs
 
 
 def apart(docs: DataFrame, runs: DataFrame, new: str) -> tuple[DataFrame, DataFrame]:

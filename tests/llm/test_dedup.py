@@ -238,6 +238,31 @@ def test_texts_without_later_copies_are_not_shuffled(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def full_collections(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if any(x in b.getName() for x in ("Old", "MarkSweep")))
+
+
+def test_driver_keeps_no_garbage_of_levels(spark, monkeypatch):
+    # seven levels: the plans of the descent hold a level's names once, and no level leaves its garbage to the next
+    whole, sizes, depth = lines.stored, [], []
+    monkeypatch.setattr(lines, "common_prefixes", lambda s, n, f=lines.common_prefixes: depth.append(len(n)) or f(s, n))
+
+    def noted(df, label, keep=False):
+        if label in ("descent", "prefixes"):
+            sizes.append(df._jdf.queryExecution().analyzed().collectLeaves().size())
+        return whole(df, label, keep)
+
+    monkeypatch.setattr(lines, "stored", noted)
+    long = [f"line {k}" for k in range(70)]
+    texts = {1: "\n".join(long), 2: "\n".join(["head", *long[:66], "tail"]), 3: "\n".join(["x", *long[5:], "x", *long[:3]])}
+    before = full_collections(spark)
+    got = lines.dedup_digest(frame(spark, texts), 2).collect()
+    assert {x.doc_id: (x.n_lines, x.n_removed, x.kept_sha256) for x in got} == brute_lines(texts, 2)
+    assert depth == [7] and max(sizes) < 3 * depth[0]
+    assert full_collections(spark) - before >= depth[0]
+
+
 @pytest.mark.parametrize("bits", [64, 1 << 24])
 def test_texts_apart_are_all_there(spark, monkeypatch, bits):
     monkeypatch.setattr(lines, "BITS", bits)
