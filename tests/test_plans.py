@@ -1,4 +1,5 @@
-"""What keeps queries within bounds on large tables: no join is broadcast that grows with the documents."""
+"""What keeps queries within bounds on large tables: no join is broadcast that grows with the documents,
+and the rows of one row group are dealt to all cores before a Python kernel."""
 
 import random
 
@@ -28,3 +29,32 @@ def test_section_members_of_any_levels(spark):
     held = [(e.doc_id, e.seq, p.id) for p in parts.collect() for e in events.collect() if e.doc_id == p.doc_id is not None and e.seq > p.end_seq and (p.section_end is None or e.seq < p.section_end)]
     assert sorted((r.doc_id, r.seq, r.section_id) for r in R.section_members(events, parts).collect()) == sorted(held)
     assert R.section_members(events, parts).columns == [*events.columns, "section_id"]
+
+
+def test_sections_like_the_kernel(spark):
+    draw = random.Random(2)
+    docs = [(i, "\n\n".join(f"{'#' * draw.randint(1, 6)} h{draw.randint(0, 4)}\n\nx" for _ in range(draw.randint(1, 12)))) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, source string")
+    found = R.sections(R.headings(D.parse_events(df)))
+    rows = {(r.doc_id, r.seq // 6): (r.heading, r.level, r.id, r.breadcrumb) for r in found.collect()}
+    assert rows == {(r.doc_id, r.pos): (r.heading, r.level, r.id, r.breadcrumb) for r in D.chunks_by_heading(df).collect()}
+    assert "unboundedfollowing" not in plan(found) and "collect_list(struct(level" not in plan(found)
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "w1a_boundaries",
+    ],
+)
+def test_rows_are_dealt_before_the_kernel(spark, name):
+    found = plan(Q.QUERIES[name](spark, MIDDLE))
+    assert found.count("RoundRobinPartitioning") == found.count("FileScan") > 0
+
+
+def test_spread_by_size(spark, tmp_path):
+    spark.range(60000).selectExpr("id", "uuid() AS text").coalesce(1).write.parquet(str(tmp_path / "big"))
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "small"))
+    sizes = Q.spread(spark.read.parquet(str(tmp_path / "big"))).selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
+    assert len(sizes) >= 4 and max(r["count"] for r in sizes) < 2 * 60000 / len(sizes)
+    assert "Exchange" not in plan(Q.spread(spark.read.parquet(str(tmp_path / "small"))))
