@@ -45,6 +45,7 @@ def test_sections_like_the_kernel(spark):
     "name",
     [
         "w1a_boundaries",
+        "g1_statistics",
     ],
 )
 def test_rows_are_dealt_before_the_kernel(spark, name):
