@@ -35,7 +35,7 @@ def test_sections_like_the_kernel(spark):
     draw = random.Random(2)
     docs = [(i, "\n\n".join(f"{'#' * draw.randint(1, 6)} h{draw.randint(0, 4)}\n\nx" for _ in range(draw.randint(1, 12)))) for i in range(40)]
     df = spark.createDataFrame(docs, "doc_id long, source string")
-    found = R.sections(R.headings(D.parse_events(df)))
+    found = R.sections(R.headings(D.parse_events(df, columns=R.HEADINGS)))
     rows = {(r.doc_id, r.seq // 6): (r.heading, r.level, r.id, r.breadcrumb) for r in found.collect()}
     assert rows == {(r.doc_id, r.pos): (r.heading, r.level, r.id, r.breadcrumb) for r in D.chunks_by_heading(df).collect()}
     assert "unboundedfollowing" not in plan(found) and "collect_list(struct(level" not in plan(found)
@@ -46,6 +46,7 @@ def test_sections_like_the_kernel(spark):
     [
         "w1a_boundaries",
         "g1_statistics",
+        "w3_top_level_blocks",
     ],
 )
 def test_rows_are_dealt_before_the_kernel(spark, name):
@@ -59,3 +60,13 @@ def test_spread_by_size(spark, tmp_path):
     sizes = Q.spread(spark.read.parquet(str(tmp_path / "big"))).selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
     assert len(sizes) >= 4 and max(r["count"] for r in sizes) < 2 * 60000 / len(sizes)
     assert "Exchange" not in plan(Q.spread(spark.read.parquet(str(tmp_path / "small"))))
+
+
+def test_columns_of_events(spark):
+    df = spark.createDataFrame([(1, "# é\n\n- [l](u)"), (2, "")], "doc_id long, source string")
+    whole, names = D.parse_events(df), ["seq", "kind", "byte_start", "classes"]
+    some = D.parse_events(df, columns=names[::-1])
+    assert some.columns == ["doc_id", "seq", "kind", "classes", "byte_start"]
+    assert some.collect() == whole.select(some.columns).collect() != []
+    with pytest.raises(ValueError):
+        D.parse_events(df, columns=["nosuch"])
