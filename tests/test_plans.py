@@ -16,7 +16,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["j3_section_members", "j4_ancestors", "j5_unwrapped_links"])
+@pytest.mark.parametrize("name", ["j3_section_members", "j4_ancestors", "j5_unwrapped_links", "g1_statistics_relational"])
 def test_events_are_not_broadcast(spark, name):
     assert "Broadcast" not in plan(Q.QUERIES[name](spark, MIDDLE))
 
@@ -47,6 +47,7 @@ def test_sections_like_the_kernel(spark):
         "w1a_boundaries",
         "g1_statistics",
         "w3_top_level_blocks",
+        "g1_statistics_relational",
     ],
 )
 def test_rows_are_dealt_before_the_kernel(spark, name):
