@@ -49,6 +49,7 @@ def test_sections_like_the_kernel(spark):
         "w3_top_level_blocks",
         "g1_statistics_relational",
         "src5_frontmatter",
+        "x5_footnotes",
     ],
 )
 def test_rows_are_dealt_before_the_kernel(spark, name):
