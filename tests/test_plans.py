@@ -50,6 +50,7 @@ def test_sections_like_the_kernel(spark):
         "g1_statistics_relational",
         "src5_frontmatter",
         "x5_footnotes",
+        "g9_truncated_counts",
     ],
 )
 def test_rows_are_dealt_before_the_kernel(spark, name):
