@@ -51,6 +51,7 @@ def test_sections_like_the_kernel(spark):
         "src5_frontmatter",
         "x5_footnotes",
         "g9_truncated_counts",
+        "w1_chunks_by_heading",
     ],
 )
 def test_rows_are_dealt_before_the_kernel(spark, name):
