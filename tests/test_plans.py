@@ -52,6 +52,7 @@ def test_sections_like_the_kernel(spark):
         "x5_footnotes",
         "g9_truncated_counts",
         "w1_chunks_by_heading",
+        "g2_light_statistics",
     ],
 )
 def test_rows_are_dealt_before_the_kernel(spark, name):
