@@ -53,6 +53,7 @@ def test_sections_like_the_kernel(spark):
         "g9_truncated_counts",
         "w1_chunks_by_heading",
         "g2_light_statistics",
+        "x3_code_blocks",
     ],
 )
 def test_rows_are_dealt_before_the_kernel(spark, name):
