@@ -54,6 +54,7 @@ def test_sections_like_the_kernel(spark):
         "w1_chunks_by_heading",
         "g2_light_statistics",
         "x3_code_blocks",
+        "snk3_plain_text",
     ],
 )
 def test_rows_are_dealt_before_the_kernel(spark, name):
