@@ -55,6 +55,7 @@ def test_sections_like_the_kernel(spark):
         "g2_light_statistics",
         "x3_code_blocks",
         "snk3_plain_text",
+        "f7_highlight",
     ],
 )
 def test_rows_are_dealt_before_the_kernel(spark, name):
