@@ -56,6 +56,7 @@ def test_sections_like_the_kernel(spark):
         "x3_code_blocks",
         "snk3_plain_text",
         "f7_highlight",
+        "g8_section_counts",
     ],
 )
 def test_rows_are_dealt_before_the_kernel(spark, name):
