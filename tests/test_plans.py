@@ -57,6 +57,7 @@ def test_sections_like_the_kernel(spark):
         "snk3_plain_text",
         "f7_highlight",
         "g8_section_counts",
+        "w1c_breadcrumb",
     ],
 )
 def test_rows_are_dealt_before_the_kernel(spark, name):
