@@ -58,6 +58,7 @@ def test_sections_like_the_kernel(spark):
         "f7_highlight",
         "g8_section_counts",
         "w1c_breadcrumb",
+        "f3_heading_ids",
     ],
 )
 def test_rows_are_dealt_before_the_kernel(spark, name):
