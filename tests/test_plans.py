@@ -59,6 +59,7 @@ def test_sections_like_the_kernel(spark):
         "g8_section_counts",
         "w1c_breadcrumb",
         "f3_heading_ids",
+        "g3_counted_text",
     ],
 )
 def test_rows_are_dealt_before_the_kernel(spark, name):
