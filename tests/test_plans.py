@@ -60,6 +60,7 @@ def test_sections_like_the_kernel(spark):
         "w1c_breadcrumb",
         "f3_heading_ids",
         "g3_counted_text",
+        "t1_table_functions",
     ],
 )
 def test_rows_are_dealt_before_the_kernel(spark, name):
