@@ -61,6 +61,7 @@ def test_sections_like_the_kernel(spark):
         "f3_heading_ids",
         "g3_counted_text",
         "t1_table_functions",
+        "snk2_to_markdown",
     ],
 )
 def test_rows_are_dealt_before_the_kernel(spark, name):
