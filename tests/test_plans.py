@@ -62,6 +62,7 @@ def test_sections_like_the_kernel(spark):
         "g3_counted_text",
         "t1_table_functions",
         "snk2_to_markdown",
+        "snk7_tidy_edges",
     ],
 )
 def test_rows_are_dealt_before_the_kernel(spark, name):
