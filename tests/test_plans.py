@@ -63,6 +63,7 @@ def test_sections_like_the_kernel(spark):
         "t1_table_functions",
         "snk2_to_markdown",
         "snk7_tidy_edges",
+        "s2_hybrid_chunks",
     ],
 )
 def test_rows_are_dealt_before_the_kernel(spark, name):
@@ -86,3 +87,13 @@ def test_columns_of_events(spark):
     assert some.collect() == whole.select(some.columns).collect() != []
     with pytest.raises(ValueError):
         D.parse_events(df, columns=["nosuch"])
+
+
+def test_hybrid_chunks_are_sections_and_windows(spark):
+    df = spark.createDataFrame([(1, "# a\n\n# b\n\nx\n\n# c\n\n" + "\n\n".join(c * 40 for c in "pqr")), (2, ""), (3, "é" * 60), (4, "é" * 61)], "doc_id long, source string")
+    parts = D.chunks_by_heading(df).selectExpr("doc_id", "heading", "content AS source")
+    small = parts.where("length(source) <= 60").selectExpr("doc_id", "heading", "0 AS index", "source AS content")
+    large = D.chunks_by_size(parts.where("length(source) > 60"), chars=60).select("doc_id", "heading", "index", "content")
+    found = D.hybrid_chunks(df, chars=60)
+    assert sorted(map(tuple, found.drop("pos").collect()), key=str) == sorted(map(tuple, small.unionByName(large).collect()), key=str)
+    assert plan(found).count("MapInArrow") == 1
